@@ -8,7 +8,7 @@ A written corpus is a folder with ``blocks`` (a row a block: place of its first
 ``table`` (id, frequency). Spark writes and reads both, so any file system it knows will do.
 
 Cases: a null text is empty and gets the end id alone. Documents are in ascending order of their id, nulls first;
-repeated ids follow one another, ordered by text. A very long document is a block of its own. An empty table gives
+repeated ids follow one another, ordered by the text's hash. A very long document is a block of its own. An empty table gives
 empty folders. Only the named columns are read.
 """
 
@@ -131,7 +131,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int, key: str, text: str) -> D
             before += int(offs[-1])
 
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    order = [F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    # Range bounds are sampled to the driver, so they hold a hash of the text, not the text.
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = named.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     kind = dict(named.dtypes)["key"]
     return dealt.mapInArrow(run, f"_part int, _before long, key {kind}, n long, ids binary")

@@ -1,4 +1,4 @@
-"""Named queries over the driver's tables, and SQL twins."""
+"""Named queries over the driver's tables, and SQL twins. A name starts with the id of its operator."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tagflow.plans import items, recursive, streams, texts
+
+GROUPS = (texts, items, recursive, streams)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for g in GROUPS for name, f in g.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for g in GROUPS for name, sql in g.SQL.items()}

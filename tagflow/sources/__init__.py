@@ -1 +1,109 @@
-"""See the modules."""
+"""Sources and sinks."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagflow.storage import fresh
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def strided_range(spark: SparkSession, first: int, last: int, step: int = 1, name: str = "tag", parts: int | None = None) -> DataFrame:
+    """Integers from ``first``, below ``last`` (S3, S4, C14: ``parts`` is the grain)."""
+    return spark.range(first, last, step, parts).withColumnRenamed("id", name)
+
+
+def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """The lines of each text, numbered from 0."""
+    return texts.select(key, F.posexplode(F.split(text, "\n")).alias("line", "text"))
+
+
+def text_files(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text files; Spark splits the files."""
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+
+
+def blocks(spark: SparkSession, path: str, size: int = 2 << 20) -> DataFrame:
+    """Binary files in blocks of ``size`` bytes: file, block, data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                cuts = range(0, max(1, len(content)), size)
+                data = [content[at : at + size] for at in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(data)), pa.array(range(len(data)), pa.int64()), pa.array(data, pa.binary())], names=["file", "block", "data"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, block long, data binary")
+
+
+def jdbc_items(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
+    """The items of a SQL table (S8); partitioning options split the read."""
+    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+
+
+def write_jdbc(items: DataFrame, url: str, name: str, mode: str = "append", **options: str) -> None:
+    """Items put through to a SQL table (S8); in a stream call it from ``foreachBatch``."""
+    items.write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()
+
+
+def stored_items(items: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Items written through to a Parquet table and read from it: the table form of S8."""
+    items.write.mode(mode).parquet(path)
+    return items.sparkSession.read.schema(items.schema).parquet(path)
+
+
+def archive(chunks: DataFrame, order: list[str], data: str = "data") -> DataFrame:
+    """Each chunk in order with its fingerprint; the first of equal ones carries the data compressed.
+
+    First occurrences are found by an aggregate, so a chunk that occurs everywhere is no single task's load.
+    """
+    marked = chunks.withColumn("fingerprint", F.sha1(data))
+    first = marked.groupBy("fingerprint").agg(F.min(F.struct(*order)).alias("_first"))
+    out = marked.join(first, "fingerprint").withColumn("is_first", F.struct(*order) == F.col("_first"))
+    return out.select(*order, "fingerprint", "is_first", F.when(F.col("is_first"), F.col(data)).alias("payload"))
+
+
+def deflated(rows: DataFrame, column: str = "payload") -> DataFrame:
+    """``column`` compressed by zlib where it isn't null."""
+    import zlib
+
+    import pandas as pd
+
+    @F.pandas_udf("binary")
+    def squeeze(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: None if b is None else zlib.compress(bytes(b)))
+
+    return rows.withColumn(column, squeeze(F.col(column).cast("binary")))
+
+
+def write_image(pixels: DataFrame, path: str, width: int, height: int) -> None:
+    """Pixels (x, y, r, g, b) as rows of a P6 image (S14): a part file a band of rows, in order, the header first."""
+    rows = pixels.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("x", "r", "g", "b"))).alias("p"))
+    band = F.concat_ws("", F.transform("p", lambda q: F.concat(*(F.lpad(F.hex(q[c].cast("int")), 2, "0") for c in "rgb"))))
+    head = rows.sparkSession.createDataFrame([(-1, f"P6\n{width} {height}\n255\n".encode().hex())], "y long, band string")
+    rows.select(F.col("y").cast("long").alias("y"), band.alias("band")).unionByName(head).repartitionByRange("y").sortWithinPartitions("y").write.parquet(path)
+
+
+
+
+def graph_edges(spec: str) -> list[tuple[str, str, str]]:
+    """The edges of a textual graph: <tags> :: (step); [items] -> (step) -> [items]."""
+    out = []
+    for line in spec.splitlines():
+        line = line.split("//")[0].strip().rstrip(";")
+        parts = re.split(r"\s*(->|::)\s*", line)
+        out += [(parts[k], parts[k + 1], parts[k + 2]) for k in range(0, len(parts) - 2, 2)]
+    return out
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return fresh(spark, name)

@@ -1 +1,118 @@
-"""See the modules."""
+"""Incremental graphs as Structured Streaming queries.
+
+Each function takes streaming DataFrames and gives one; ``drained`` runs it over what is there now (quiescence, K8) and
+reads the result back.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tagflow.storage import fresh
+
+
+def stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """Files at ``path`` as a stream, with the columns of ``like``. The path may be one file: as a pattern Spark takes it."""
+    return spark.readStream.schema(like.schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
+    """Everything available now, processed and read back (K4, K8). Only ``append`` is for tables of any size."""
+    spark = rows.sparkSession
+    out, state = fresh(spark, "stream"), fresh(spark, "stream-state")
+    if mode == "append":
+        query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    else:
+        def put(batch: DataFrame, _: int) -> None:
+            batch.write.mode("overwrite").parquet(out)
+
+        query = rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def cross(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The incremental cross product of two streams (K2). State grows with the input, as the operator demands."""
+    left, right = a.withColumn("_one", F.lit(0)), b.withColumn("_one", F.lit(0))
+    return left.join(right, "_one").drop("_one")
+
+
+def memoized(tags: DataFrame, *keys: str) -> DataFrame:
+    """Each tag once (K5); give the stream a watermark and use dropDuplicatesWithinWatermark to bound the state."""
+    return tags.dropDuplicates(list(keys))
+
+
+def counted_sum(items: DataFrame, counts: DataFrame, key: str, value: str) -> DataFrame:
+    """A keyed sum that comes out once, when as many items were reduced as its count says (K3); -1: at once.
+
+    items (key, value) and counts (key, n) may arrive in any order; items behind the emission are folded, never emitted.
+    """
+    both = items.select(F.col(key).alias("key"), F.col(value).cast("double").alias("value"), F.lit(None).cast("long").alias("n")).unionByName(
+        counts.select(F.col(key).alias("key"), F.lit(None).cast("double").alias("value"), F.col("n").cast("long").alias("n"))
+    )
+
+    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        total, seen, expected, done = state.get if state.exists else (0.0, 0, None, False)
+        for f in frames:
+            total += float(f["value"].sum())
+            seen += int(f["value"].notna().sum())
+            if f["n"].notna().any():
+                expected = int(f["n"].dropna().iloc[-1])
+        now = not done and expected is not None and (seen == expected or (expected == -1 and seen > 0))
+        state.update((total, seen, expected, done or now))
+        if now:
+            yield pd.DataFrame({"key": [k[0]], "value": [total], "n_reduced": [seen]})
+
+    return both.groupBy("key").applyInPandasWithState(
+        fold, "key long, value double, n_reduced long", "total double, seen long, expected long, done boolean", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def actor(inputs: DataFrame, key: str, order: str, value: str, first: float = 0.0) -> DataFrame:
+    """out = value + state, and the state grows by one with each input of a key, in order (K6, Q27)."""
+
+    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at = state.get[0] if state.exists else first
+        rows = pd.concat(list(frames)).sort_values("order", kind="stable")
+        rows["out"] = rows["value"] + at + range(len(rows))
+        state.update((at + len(rows),))
+        yield rows[["key", "order", "out"]]
+
+    named = inputs.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(value).cast("double").alias("value"))
+    return named.groupBy("key").applyInPandasWithState(fold, "key long, order long, out double", "at double", "append", GroupStateTimeout.NoTimeout)
+
+
+def latest(rows: DataFrame, key: str, order: str, kind: str, value: str, kinds: list[str]) -> DataFrame:
+    """Each row with the latest value of every kind so far, by key (K7)."""
+
+    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = list(state.get) if state.exists else [0.0] * len(kinds)
+        rows = pd.concat(list(frames)).sort_values("order", kind="stable")
+        out = []
+        for o, c, v in zip(rows["order"], rows["kind"], rows["value"], strict=True):
+            if c in kinds and v == v:
+                last[kinds.index(c)] = float(v)
+            out.append((k[0], o, *last))
+        state.update(tuple(last))
+        yield pd.DataFrame(out, columns=["key", "order", *names])
+
+    names = [f"last_{c}" for c in kinds]
+    fields = ", ".join(f"`{n}` double" for n in names)
+    named = rows.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(kind).alias("kind"), F.col(value).cast("double").alias("value"))
+    return named.groupBy("key").applyInPandasWithState(fold, f"key long, order long, {fields}", fields, "append", GroupStateTimeout.NoTimeout)
+
+
+def total_by(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """A keyed sum that is emitted anew with every batch: read it in complete mode (K3 without counts)."""
+    return rows.groupBy(key).agg(F.sum(F.col(value)).alias("value"), F.count("*").alias("n_reduced"))
+
+
+def windowed(rows: DataFrame, time: str, width: str, late: str, value: str) -> DataFrame:
+    """An extension of our own (the dataflow model knows no event time): sums of tumbling windows with a watermark (K9)."""
+    timed = rows.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
+    return timed.groupBy(F.window("_t", width).alias("w")).agg(F.sum(value).alias("value"), F.count("*").alias("n")).select(F.col("w.start").alias("start"), "value", "n")
