@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tagflow.llm import knn_quality, quality_rules, simhash
 from tagflow.llm.common import shared_dir, table
@@ -19,8 +18,7 @@ from tagflow.llm.queries import packed
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt on these documents' labels, takes for good."""
     model = knn_quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = knn_quality.classify(docs, model)
-    return scored.where(F.col("predicted") == 1).select(*docs.columns)
+    return knn_quality.accepted(docs, model)
 
 
 def host_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,5 +79,9 @@ def before_part(before: dict[int, int], part: np.ndarray) -> np.ndarray:
     return lut[part]
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def unused(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores in front until no column is named so (Spark's names ignore case)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name

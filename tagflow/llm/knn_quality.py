@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagflow.llm.common import slices
+from tagflow.llm.common import slices, unused
 
 #: Labelled rows that are learnt from at most (the smallest hashes of their ids), half for each label where there are as many.
 MOST_LABELLED = 4000
@@ -176,19 +176,36 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(x, np.array([r["y"] for r in rows]), prior, frequency[:-1], int(frequency[-1]))
 
 
+def scores(model: Model, texts: pa.Array) -> np.ndarray:
+    """The scores of a column of texts, in blocks."""
+    raw = binary(texts)
+    return np.concatenate([np.zeros(0), *(model.score(terms(raw[at : at + BLOCK])) for at in range(0, len(raw), BLOCK))])
+
+
 def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with score and predicted. A column of these names is replaced."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted", "_text")]
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    body = unused("_text", kept)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in slices(batches, "_text", 4 << 20):
-            raw, scores = binary(b.column("_text")), []
-            for at in range(0, len(raw), BLOCK):
-                scores.append(model.score(terms(raw[at : at + BLOCK])))
-            s = np.concatenate(scores)
+        for b in slices(batches, body, 4 << 20):
+            s = scores(model, b.column(body))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*kept).dtypes)
-    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.select(*kept, F.col(text).alias(body)).mapInArrow(run, f"{schema}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more, all columns as they are."""
+    body, names = unused("_text", docs.columns), docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in slices(batches, body, 4 << 20):
+            yield b.select(names).filter(pa.array(scores(model, b.column(body)) >= 0.5))
+
+    return docs.select("*", F.col(text).alias(body)).mapInArrow(run, docs.schema)

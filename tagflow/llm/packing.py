@@ -7,7 +7,7 @@ length, so the plan is bounded; pieces find their window by their place in the g
 
 Cases: a null text is an empty document, which has its end id alone. Repeated rows are packed like others. A very long
 document is cut into as many windows as it fills. An empty table gives an empty result. Only the named columns are read;
-``pack`` carries any others along.
+``pack`` carries any others along, but replaces columns named _length, _part, _row, sequence_id and offset.
 """
 
 from __future__ import annotations
@@ -145,7 +145,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, length: str = "length", ties:
         hist[a] = n
     at, first_of = runs(templates(hist, window)), np.cumsum(hist) - hist
     code = at["length"] * (1 << 48) + at["first"]
-    names = [c for c in out.columns if c not in ("_part", "_row", "_length")]
+    names = [c for c in out.columns if c.lower() not in ("_part", "_row", "_length", "sequence_id", "offset")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -111,4 +111,4 @@ def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", hos
                 fine.append(not (n < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * n))
             yield b.filter(pa.array(fine, pa.bool_()))
 
-    return docs.mapInArrow(passing, docs.schema).join(bad, F.col(host) == F.col("_host"), "left_anti")
+    return docs.mapInArrow(passing, docs.schema).join(bad.withColumnRenamed("_host", host), host, "left_anti").select(*docs.columns)
