@@ -1,15 +1,18 @@
 """Nearest neighbours by randomly rotated one-bit codes with error bounds.
 
-Every vector is rotated by one fixed random rotation and kept as the signs of its coordinates, its length and one
+Every vector is rotated by one fixed random rotation and kept as the packed signs of its coordinates, its length and one
 correction scalar. The inner product of a query with a vector is estimated from the code; with high probability the
-error stays within a bound known per vector. Only vectors whose upper bound reaches the best lower bounds are scored on
-the original vectors, in double precision.
+error stays within a bound known per vector. In a block, the vectors of the best upper bounds are scored on the original
+vectors; the k-th best of these scores is a floor, and every other vector whose upper bound reaches it is scored too, in
+double precision. Codes take a 32nd of the vectors' room, and a block of them is compared by one matrix product.
 
 The stated queries meet all rows in blocks: rows are dealt to blocks of bounded size, queries to blocks of bounded size,
-and a task works on a pair of blocks, emitting no more than ``k`` rows a query.
+and a task works on a pair of blocks, emitting no more than ``k`` rows a query. Pairs grow with queries times rows, as
+asked; what is shuffled grows with that divided by the size of a block.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part.
 Equal scores rank by the smaller id. Rows that repeat are candidates like others. An empty table gives an empty result.
+Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from pyspark.sql import functions as F
 
 from tagflow.llm.common import written
 
-#: Rows and queries of a block, about.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
-#: Standard errors that a bound allows for; 4 misses about one vector in 16,000.
-WIDTH = 4.0
+#: Bytes of a block's vectors, most rows and queries of a block, and queries compared at once.
+BLOCK_BYTES, BLOCK_ROWS, BLOCK_QUERIES, AT_ONCE = 16 << 20, 65536, 8192, 128
+#: Standard errors that a bound allows for: 2.5 misses about one vector in 160.
+WIDTH = 2.5
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -44,44 +47,55 @@ def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.packbits(signs, axis=1), norms, fit
 
 
-def estimate(bits: np.ndarray, norms: np.ndarray, fit: np.ndarray, queries: np.ndarray, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of rotated ``queries`` with the coded vectors, and the bound of the error."""
-    dim = queries.shape[1]
-    code = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
-    product = queries.astype(np.float32) @ code.T / np.float32(np.sqrt(dim))
-    scale = (norms / fit).astype(np.float32)
-    spread = norms * np.sqrt(np.maximum(0, 1 - fit**2)) / fit / np.sqrt(max(1, dim - 1))
-    return product * scale, (width * np.linalg.norm(queries, axis=1)[:, None] * spread).astype(np.float32)
+def upper_bounds(bits: np.ndarray, norms: np.ndarray, fit: np.ndarray, dim: int, width: float = WIDTH) -> np.ndarray:
+    """A matrix whose product with a rotated unit query, a 1 behind it, is estimated inner product plus its error's bound."""
+    out = np.empty((len(bits), dim + 1), np.float32)
+    out[:, :dim] = np.unpackbits(bits, axis=1, count=dim)
+    out[:, :dim] = (out[:, :dim] * 2 - 1) * (norms / fit / np.sqrt(dim))[:, None]
+    out[:, dim] = width * norms * np.sqrt(np.maximum(0, 1 - fit**2)) / fit / np.sqrt(max(1, dim - 1))
+    return out
 
 
 def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in the order of the components."""
+    """Inner products in double precision, summed in the order of the components, so that equal vectors score equal."""
     out = np.zeros(len(vectors))
     for d in range(len(query)):
         out += vectors[:, d] * query[d]
     return out
 
 
-def block_best(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int, turn: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def block_best(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int, turn: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The best ``k`` of a block for each query: query id, vector ids, scores."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     bits, norms, fit = encode(vectors, turn)
-    for at in range(0, len(q_ids), 256):
-        some = slice(at, at + 256)
-        guess, error = estimate(bits, norms, fit, queries[some] @ turn.T)
-        low = guess - error
-        low[q_ids[some, None] == ids[None, :]] = -np.inf
-        n = min(k + 1, len(ids))
-        floor = np.partition(low, len(ids) - n, axis=1)[:, len(ids) - n]
-        if n <= k:
-            floor[:] = -np.inf
-        for i, (row, least) in enumerate(zip(guess + error, floor, strict=True)):
-            near = np.flatnonzero(row >= least)
-            near = near[ids[near] != q_ids[at + i]]
-            score = exact(vectors[near], queries[at + i])
-            best = np.argsort(-score, kind="stable")[:k]
-            yield q_ids[at + i], ids[near[best]], score[best]
+    longest = norms.max()
+    bound = upper_bounds(bits, norms / longest, fit, vectors.shape[1]).T
+    most = np.abs(queries).max(axis=1)
+    lengths = most * np.linalg.norm(queries / most[:, None], axis=1)
+    turned = np.ones((len(queries), vectors.shape[1] + 1), np.float32)
+    turned[:, :-1] = (queries / lengths[:, None]) @ turn.T
+    first = min(3 * k, len(ids))
+    for at in range(0, len(q_ids), AT_ONCE):
+        upper = turned[at : at + AT_ONCE] @ bound
+        for i, row in enumerate(upper, at):
+            row[np.searchsorted(ids, q_ids[i]) : np.searchsorted(ids, q_ids[i], side="right")] = -np.inf
+            sure = np.argpartition(-row, first - 1)[:first]
+            sure = sure[row[sure] > -np.inf]
+            if len(sure) == 0:
+                continue
+            score = exact(vectors[sure], queries[i])
+            if len(sure) > k:
+                floor = np.partition(score, len(score) - k)[len(score) - k]
+                near = np.flatnonzero(row >= floor / (lengths[i] * longest) - 1e-6)
+                rough = vectors[near] @ queries[i]
+                if len(near) > k:  # rough scores may differ in their last bits; the exact ones decide
+                    rough_floor = np.partition(rough, len(rough) - k)[len(rough) - k]
+                    near = near[rough >= rough_floor - 1e-9 * lengths[i] * longest]
+                sure = near
+                score = exact(vectors[sure], queries[i])
+            best = np.lexsort((ids[sure], -score))[:k]
+            yield int(q_ids[i]), ids[sure[best]], score[best]
 
 
 def usable(vector: Column) -> Column:
@@ -91,32 +105,35 @@ def usable(vector: Column) -> Column:
 
 def nearest(table: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows by inner product for each row of ``table`` where ``queries`` holds."""
-    good = table.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("asks"))
+    good = table.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), queries.alias("asks"))
     good = written(good)
     sizes = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not sizes:
         return good.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     dim, n, asked = sizes[0]
     good = good.where(F.size("v") == dim)
-    blocks, q_blocks = -(-n // BLOCK_ROWS), -(-max(1, asked or 0) // BLOCK_QUERIES)
+    blocks = -(-n // max(1, min(BLOCK_ROWS, BLOCK_BYTES // (4 * dim))))
+    asked = max(1, asked or 0)
+    # No more queries than a block holds, and few enough that all cores have work where there is little of it.
+    tasks = table.sparkSession.sparkContext.defaultParallelism
+    q_blocks = max(-(-asked // BLOCK_QUERIES), min(-(-asked // AT_ONCE), -(-tasks // blocks)))
     dealt = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     rows = good.select(dealt(blocks).alias("block"), spread(q_blocks).alias("q_block"), F.lit(False).alias("is_query"), "id", "v")
     asks = good.where("asks").dropDuplicates(["id", "v"]).select(spread(blocks).alias("block"), dealt(q_blocks).alias("q_block"), F.lit(True).alias("is_query"), "id", "v")
     turn = rotation(dim)
 
-    def work(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(pairs))
-        is_query = t["is_query"].to_numpy()
-        ids = t["id"].to_numpy()
+    def work(t: pa.Table) -> pa.Table:
+        is_query, ids = t["is_query"].to_numpy(), t["id"].to_numpy()
         v = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        found = []
         if is_query.any() and not is_query.all():
-            for q, near, score in block_best(ids[~is_query], v[~is_query], ids[is_query], v[is_query], k, turn):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q)), pa.array(near), pa.array(score)], names=["query_id", "vec_id", "score"])
+            found = list(block_best(ids[~is_query], v[~is_query].astype(np.float64), ids[is_query], v[is_query].astype(np.float64), k, turn))
+        asked = [np.full(len(near), q) for q, near, _ in found]
+        cols = [np.concatenate([np.zeros(0, kind), *parts]) for kind, parts in ((np.int64, asked), (np.int64, [x[1] for x in found]), (np.float64, [x[2] for x in found]))]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 
-    found = rows.unionByName(asks).groupBy("block", "q_block").applyInArrow(lambda t: pa.Table.from_batches([*work(iter(t.to_batches()))], schema=OUT), "query_id long, vec_id long, score double")
+    found = rows.unionByName(asks).groupBy("block", "q_block").applyInArrow(work, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-
-OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
