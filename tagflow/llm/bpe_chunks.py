@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -264,7 +265,7 @@ def digests(coded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
                 part = b.slice(at, 500)
                 ids, texts = part.column(1), decoded(part.column(1), path)
                 sha = lambda rows: pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string())
-                n = np.asarray(pa.compute.binary_length(ids), np.int64) // 4
+                n = np.asarray(pc.binary_length(ids), np.int64) // 4
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), sha(ids.to_pylist()), sha(t.encode() for t in texts)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return coded.select(key, "ids").mapInArrow(run, f"`{key}` {dict(coded.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,14 +41,14 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
     """The batches cut so that their texts have about ``limit`` bytes; nulls in ``text`` become empty."""
     for batch in batches:
         col = batch.column(text)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         ends, begin = np.cumsum(sizes), 0
         while begin < batch.num_rows:
             done = ends[begin - 1] if begin else 0
             end = max(begin + 1, int(np.searchsorted(ends, done + limit, side="right")))
             part = batch.slice(begin, end - begin)
             at = part.schema.get_field_index(text)
-            yield part.set_column(at, text, pa.compute.fill_null(part.column(at).cast(pa.string()), ""))
+            yield part.set_column(at, text, pc.fill_null(part.column(at).cast(pa.string()), ""))
             begin = end
 
 

@@ -19,6 +19,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = terms(binary(pa.compute.fill_null(b.column("text"), "")))
+            x = terms(binary(pc.fill_null(b.column("text"), "")))
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["key", "y", "x"])
 
     kinds = dict(named.dtypes)["key"], dict(chosen.dtypes)["y"]
