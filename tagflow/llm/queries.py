@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagflow.llm import bpe_chunks, chat, html_text, knn_quality, packing, quality_rules, rabitq, rans, sharding, simhash
-from tagflow.llm.common import shared_dir, table
+from tagflow.llm.common import shared_dir, table, written
 from tagflow.llm.tokens import column_bpe
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -57,7 +57,8 @@ def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     pieces = packing.pieces(docs, public_tokenizers.path(BYTE_BPE), end_id=1)
     digest = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.pack(digest, ties=("doc_id", "start", "ids_crc32", "doc_tokens"))
+    # Written first, so that sampling the ranges of lengths doesn't encode the texts once more.
+    return packing.pack(written(digest), ties=("doc_id", "start", "ids_crc32", "doc_tokens"))
 
 
 def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
