@@ -25,12 +25,15 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tagflow.llm.common import SLICE_BYTES, slices, written
-from tagflow.llm.tokens import ColumnBPE, column_bpe
+from tagflow.llm.common import slices, written
+from tagflow.llm.tokens import ColumnBPE, added_tokens, column_bpe, decoder
 
 #: Rolling window, least chunk and the hash bits that must be zero at a cut (chunks of about 2**CUT_BITS bytes more).
 ROLL, LEAST_CHUNK, CUT_BITS = 32, 128, 9
+#: Bytes of text that a task joins at a time; a longer text is by itself.
+OPENED_BYTES = 6 << 20
 SAFE = re.compile(r"(?<=\S) ")
 
 
@@ -78,7 +81,7 @@ def chunks_of(batch: pa.RecordBatch, name: str, added: list[bytes]) -> Iterator[
 
 
 def added_strings(path: str) -> list[bytes]:
-    return [s.encode() for s in column_bpe(path).added]
+    return [s.encode() for s in added_tokens(path)]
 
 
 def chunk_table(docs: DataFrame, path: str) -> DataFrame:
@@ -107,10 +110,12 @@ def squeezed(docs: DataFrame) -> DataFrame:
             z = [packer.compress(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("th"), pa.array(z, pa.binary())], names=["key", "th", "z"])
 
-    return docs.mapInArrow(run, f"key {dict(docs.dtypes)['key']}, th long, z binary")
+    # Not null, so that both joins see the same rows and share one shuffle.
+    schema = T.StructType([docs.schema["key"], T.StructField("th", T.LongType(), False), T.StructField("z", T.BinaryType(), False)])
+    return docs.mapInArrow(run, schema)
 
 
-def opened(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def opened(batches: Iterator[pa.RecordBatch], limit: int = OPENED_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches with the compressed column z as text again, cut so that their texts have about ``limit`` bytes."""
     opener = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -247,7 +252,7 @@ def decode(coded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
 
 
 def decoded(ids: pa.Array, path: str) -> list[str]:
-    table, out = column_bpe(path).decoder, []
+    table, out = decoder(path), []
     for raw in ids.to_pylist():
         found = table.take(pa.array(np.frombuffer(raw, "<u4")))
         offs = np.frombuffer(found.buffers()[1], np.int64)

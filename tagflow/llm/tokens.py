@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import cache, cached_property
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +69,7 @@ class ColumnBPE:
         self.library.no_padding()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.added = added_tokens(path)
         self.suffix = spec["model"].get("end_of_word_suffix")
         self.vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in self.added}
         self.size = self.library.get_vocab_size(with_added_tokens=True)
@@ -171,15 +171,6 @@ class ColumnBPE:
             ids, sizes = spliced(ids, sizes, odd_at, [self.by_library(t) for t in texts.take(pa.array(odd_at)).to_pylist()])
         return ids, np.concatenate([[0], np.cumsum(sizes)])
 
-    @cached_property
-    def decoder(self) -> pa.BinaryArray:
-        """The bytes of each id."""
-        rows = [b""] * self.size
-        for t, i in self.vocab.items():
-            rows[i] = to_bytes(t)
-        for t, i in self.added.items():
-            rows[i] = t.encode()
-        return pa.array(rows, pa.large_binary())
 
 
 def gather(stock: np.ndarray, begins: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,6 +191,27 @@ def spliced(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray, own: list[np.nda
     return np.concatenate([*out, ids[last:]]), sizes
 
 
+@cache
+def added_tokens(path: str) -> dict[str, int]:
+    with open(path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+@cache
+def decoder(path: str) -> pa.Array:
+    """The bytes of each id of a byte-level file."""
+    with open(path, encoding="utf-8") as file:
+        vocab = json.load(file)["model"]["vocab"]
+    added = added_tokens(path)
+    rows = [b""] * (1 + max([*vocab.values(), *added.values()]))
+    for t, i in vocab.items():
+        if t not in added:
+            rows[i] = to_bytes(t)
+    for t, i in added.items():
+        rows[i] = t.encode()
+    return pa.array(rows, pa.large_binary())
+
+
 @cache
 def column_bpe(path: str) -> ColumnBPE:
     """One per worker process."""
