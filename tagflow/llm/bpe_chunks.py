@@ -85,7 +85,7 @@ def added_strings(path: str) -> list[bytes]:
 
 
 def chunk_table(docs: DataFrame, path: str) -> DataFrame:
-    """key, th and the hashes of the chunks of each row of docs (key, th, text)."""
+    """rk, th and the hashes of the chunks of each row of docs (rk, th, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         added = added_strings(path)
@@ -96,23 +96,24 @@ def chunk_table(docs: DataFrame, path: str) -> DataFrame:
                 begins.append(len(hashes))
             flat = pa.array(np.array(hashes, np.uint64).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("th"), lists], names=["key", "th", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("th"), lists], names=["rk", "th", "hashes"])
 
-    return docs.mapInArrow(run, f"key {dict(docs.dtypes)['key']}, th long, hashes array<long>")
+    return docs.select("rk", "th", "text").mapInArrow(run, "rk string, th long, hashes array<long>")
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
-    """docs (key, th, text) with each text compressed, for the shuffle: a third less than its own compression leaves."""
+    """docs (key, rk, th, text) with each text compressed, for the shuffle: a third less than its own compression leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for b in slices(batches, "text"):
             z = [packer.compress(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("th"), pa.array(z, pa.binary())], names=["key", "th", "z"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(z, pa.binary())], names=["key", "rk", "th", "z"])
 
     # Not null, so that both joins see the same rows and share one shuffle.
-    schema = T.StructType([docs.schema["key"], T.StructField("th", T.LongType(), False), T.StructField("z", T.BinaryType(), False)])
-    return docs.mapInArrow(run, schema)
+    filled = (("rk", T.StringType()), ("th", T.LongType()), ("z", T.BinaryType()))
+    schema = T.StructType([docs.schema["key"], *(T.StructField(n, t, False) for n, t in filled)])
+    return docs.select("key", "rk", "th", "text").mapInArrow(run, schema)
 
 
 def opened(batches: Iterator[pa.RecordBatch], limit: int = OPENED_BYTES) -> Iterator[pa.RecordBatch]:
@@ -210,12 +211,14 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     Texts are shuffled once, compressed, by key; of chunks only hashes are counted, and ids travel for shared chunks alone.
     """
     docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = docs.select("key", F.xxhash64("text").alias("th"), "text")
+    # A row is named by its key and its text's hash; rk is the key, or that there is none.
+    rk = F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit("-"))
+    docs = docs.select("key", rk.alias("rk"), F.xxhash64("text").alias("th"), "text")
     table = written(chunk_table(docs, path))
-    each = table.select("key", "th", F.posexplode("hashes").alias("seq", "hash"))
-    shared = each.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(F.col("key").isNotNull().alias("known"), "key", "th", "seq")).alias("o")).where("n > 1")
-    shared = written(shared.select("hash", F.col("o.key").alias("key"), F.col("o.th").alias("th"), F.col("o.seq").alias("seq")))
-    owners = shared.groupBy("key", "th").agg(F.collect_list(F.struct("seq", "hash")).alias("wanted"))
+    each = table.select("rk", "th", F.posexplode("hashes").alias("seq", "hash"))
+    shared = each.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("rk", "th", "seq")).alias("o")).where("n > 1")
+    shared = written(shared.select("hash", F.col("o.rk").alias("rk"), F.col("o.th").alias("th"), F.col("o.seq").alias("seq")))
+    owners = shared.groupBy("rk", "th").agg(F.collect_list(F.struct("seq", "hash")).alias("wanted"))
     kind = dict(docs.dtypes)["key"]
 
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,12 +235,11 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             raw = [ids[x:y].tobytes() for x, y in zip(offs, offs[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(raw, pa.binary())], names=["hash", "ids"])
 
-    same = lambda a, b: a["key"].eqNullSafe(b["key"]) & (a["th"] == b["th"])
     docs = squeezed(docs)
-    first = docs.join(owners, same(docs, owners)).select("z", "wanted")
+    first = docs.join(owners, ["rk", "th"]).select("key", "z", "wanted")  # the key too: the same columns share a shuffle
     chunk_ids = first.mapInArrow(encode_chunks, "hash long, ids binary").dropDuplicates(["hash"])
-    parts = each.join(chunk_ids, "hash").groupBy("key", "th").agg(F.collect_list(F.struct("seq", "ids")).alias("parts"))
-    whole = docs.join(parts, same(docs, parts), "left").select(docs["key"], "z", "parts")
+    parts = each.join(chunk_ids, "hash").groupBy("rk", "th").agg(F.collect_list(F.struct("seq", "ids")).alias("parts"))
+    whole = docs.join(parts, ["rk", "th"], "left").select("key", "z", "parts")
     return whole.mapInArrow(lambda it: assembled(it, path), f"key {kind}, ids binary").withColumnRenamed("key", key)
 
 
