@@ -14,13 +14,11 @@ are results as often. An empty table gives an empty result. Only the named colum
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -191,8 +189,8 @@ def resolved(part: tuple, ask: Joiner) -> np.ndarray:
     return ask.bpe.encode(pa.array([middle]))[0]
 
 
-def assembled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """key and ids for rows of (key, z, parts: array of (seq, ids))."""
+def assembled(batches: Iterator[pa.RecordBatch], path: str, decode: bool) -> Iterator[pa.RecordBatch]:
+    """key, ids and, to ``decode``, the text these decode to for rows of (key, z, parts: array of (seq, ids))."""
     bpe, added = column_bpe(path), added_strings(path)
     for b in opened(batches):
         ask, rows = Joiner(bpe), []
@@ -201,12 +199,13 @@ def assembled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
             shared = {p["seq"]: np.frombuffer(p["ids"], "<u2" if bpe.size <= 1 << 16 else "<u4").astype(np.uint32) for p in parts[i] or ()}
             rows.append(list(joined(text, ends, shared, ask)))
         ask.answer()
-        ids = [np.concatenate([resolved(p, ask) for p in row]).astype("<u4").tobytes() for row in rows]
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(ids, pa.binary())], names=["key", "ids"])
+        ids = pa.array([np.concatenate([resolved(p, ask) for p in row]).astype("<u4").tobytes() for row in rows], pa.binary())
+        texts = [pa.array(decoded(ids, path), pa.string())] if decode else []
+        yield pa.RecordBatch.from_arrays([b.column("key"), ids, *texts], names=["key", "ids", "text"][: 2 + decode])
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and ids (little-endian unsigned 32-bit integers) of each row of ``docs``.
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
+    """key and ids (little-endian unsigned 32-bit integers) of each row of ``docs``, and with ``decode`` the decoded text.
 
     Texts are shuffled once, compressed, by key; of chunks only hashes are counted, and ids travel for shared chunks alone.
     """
@@ -240,7 +239,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     chunk_ids = first.mapInArrow(encode_chunks, "hash long, ids binary").dropDuplicates(["hash"])
     parts = each.join(chunk_ids, "hash").groupBy("rk", "th").agg(F.collect_list(F.struct("seq", "ids")).alias("parts"))
     whole = docs.join(parts, ["rk", "th"], "left").select("key", "z", "parts")
-    return whole.mapInArrow(lambda it: assembled(it, path), f"key {kind}, ids binary").withColumnRenamed("key", key)
+    return whole.mapInArrow(lambda it: assembled(it, path, decode), f"key {kind}, ids binary" + ", text string" * decode).withColumnRenamed("key", key)
 
 
 def decode(coded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -263,16 +262,6 @@ def decoded(ids: pa.Array, path: str) -> list[str]:
     return out
 
 
-def digests(coded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
-    """key, n_tokens and the SHA-256 of ids and of the decoded text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                ids, texts = part.column(1), decoded(part.column(1), path)
-                sha = lambda rows: pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string())
-                n = np.asarray(pc.binary_length(ids), np.int64) // 4
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), sha(ids.to_pylist()), sha(t.encode() for t in texts)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return coded.select(key, "ids").mapInArrow(run, f"`{key}` {dict(coded.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(coded: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, n_tokens and the SHA-256 of ids and of the text of ``coded`` (key, ids, text)."""
+    return coded.select(key, F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

@@ -45,8 +45,7 @@ def op5_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(BYTE_BPE)
-    return bpe_chunks.digests(bpe_chunks.encode(table(spark, sf_dir, "documents"), path), path)
+    return bpe_chunks.digests(bpe_chunks.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), decode=True))
 
 
 def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

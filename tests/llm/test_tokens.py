@@ -106,7 +106,8 @@ def test_chunked_encoding_is_exact(docs, rows):
     got = Counter((r["doc_id"], bytes(r["ids"])) for r in coded.collect())
     assert got == Counter((r[0], raw(ids_of(BYTE, r[1]))) for r in rows)
     back = Counter((r["doc_id"], r["text"]) for r in bpe_chunks.decode(coded, BYTE).collect())
-    assert back == Counter((r[0], library(BYTE).decode(ids_of(BYTE, r[1]), skip_special_tokens=False)) for r in rows)
+    both = Counter((r["doc_id"], r["text"]) for r in bpe_chunks.encode(docs, BYTE, decode=True).collect())
+    assert back == both == Counter((r[0], library(BYTE).decode(ids_of(BYTE, r[1]), skip_special_tokens=False)) for r in rows)
 
 
 def test_chunks_are_shared_and_cut_by_content():
@@ -118,7 +119,7 @@ def test_chunks_are_shared_and_cut_by_content():
 
 
 def test_chunked_encoding_of_nothing(nothing):
-    assert bpe_chunks.digests(bpe_chunks.encode(nothing, BYTE), BYTE).count() == 0
+    assert bpe_chunks.digests(bpe_chunks.encode(nothing, BYTE, decode=True)).count() == 0
 
 
 def test_op6_query(spark, sf_dir):
