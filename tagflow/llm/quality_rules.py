@@ -23,6 +23,9 @@ MAX_REPEATED_PERCENT = 50
 #: A host goes when its shrunk failure rate exceeds this.
 MAX_HOST_RATE = 0.5
 
+#: Failing hosts' names are broadcast up to this size.
+BROADCAST_BYTES = 8 << 20
+
 SYMBOLS = "#*$%&|<>"
 WHITE = "\t\n\v\f\r "
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -95,13 +98,14 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
 def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The rows of ``docs`` that rules and hosts keep, all columns as they are.
 
-    The rules read the texts once to count and once more to filter, so that texts need no shuffle: hosts that fail are
-    few against documents and join by an equi-join.
+    The rules read the texts once to count and once more to filter, so that texts need no shuffle where the failing
+    hosts' names have BROADCAST_BYTES at most: these are then broadcast. More of them join by a shuffled equi-join.
     """
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     named = docs.select(F.col(host).alias("_host"), F.col(text).alias("_body"))
     rated = written(measured(named, ["_host"], "_body").select("_host", base.alias("base_failed")))
-    bad = host_verdicts(rated, "_host", "base_failed", max_rate).where("host_failed").select("_host")
+    bad = written(host_verdicts(rated, "_host", "base_failed", max_rate).where("host_failed").select(F.col("_host").alias(host)))
+    size = bad.agg(F.coalesce(F.sum(F.octet_length(F.col(host).cast("string")) + 16), F.lit(0))).first()[0]
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,4 +115,4 @@ def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", hos
                 fine.append(not (n < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * n))
             yield b.filter(pa.array(fine, pa.bool_()))
 
-    return docs.mapInArrow(passing, docs.schema).join(bad.withColumnRenamed("_host", host), host, "left_anti").select(*docs.columns)
+    return docs.mapInArrow(passing, docs.schema).join(F.broadcast(bad) if size <= BROADCAST_BYTES else bad, host, "left_anti").select(*docs.columns)
