@@ -29,6 +29,8 @@ from tagflow.llm.common import slices, unused
 MOST_LABELLED = 4000
 #: Hashed byte pairs, steps of each level, dimensions of the latent space, voters, and the power of a voter's cosine.
 PAIRS, STEPS, RANK, VOTERS, SHARPNESS = 2048, 24, 48, 25, 8
+#: Subspace iterations of the decomposition, and dimensions beyond RANK that they carry.
+ITERATIONS, SPARE = 20, 16
 #: Documents of a block of cosines.
 BLOCK = 512
 
@@ -123,13 +125,21 @@ class Model:
         return np.where(total > 0, out, self.prior)
 
 
+def leading(a: np.ndarray, rank: int) -> np.ndarray:
+    """The right singular vectors of ``a`` of the largest values, by subspace iteration: no square matrix of the terms."""
+    q = np.random.default_rng(0).standard_normal((a.shape[1], rank + SPARE)).astype(np.float32)
+    for _ in range(ITERATIONS):
+        q, _ = np.linalg.qr(a.T @ (a @ q))
+    _, _, turn = np.linalg.svd(a @ q, full_matrices=False)
+    return (q @ turn.T)[:, :rank].astype(np.float32)
+
+
 def fit(x: np.ndarray, y: np.ndarray, prior: float, frequency: np.ndarray, n_docs: int) -> Model:
     weights = np.ones(TERMS, np.float32)
     weights[:PAIRS] += np.log((1 + n_docs) / (1 + frequency))
     a = x * weights
     if len(a):
-        _, vectors = np.linalg.eigh((a.T @ a).astype(np.float64))
-        basis = vectors[:, ::-1][:, :RANK].astype(np.float32)
+        basis = leading(a, RANK)
     else:
         basis = np.zeros((TERMS, RANK), np.float32)
     model = Model(weights, basis, np.zeros((0, RANK), np.float32), y.astype(np.float64), prior)
@@ -173,8 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     kinds = dict(named.dtypes)["key"], dict(chosen.dtypes)["y"]
     rows = named.join(F.broadcast(chosen), "key").select("key", "y", "text").dropDuplicates(["key"]).mapInArrow(sample, f"key {kinds[0]}, y {kinds[1]}, x binary").collect()
     rows.sort(key=lambda r: r["key"])
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, TERMS), np.float32)
-    return fit(x, np.array([r["y"] for r in rows]), prior, frequency[:-1], int(frequency[-1]))
+    x, y = np.zeros((len(rows), TERMS), np.float32), np.array([r["y"] for r in rows])
+    for i in range(len(rows)):
+        x[i], rows[i] = np.frombuffer(rows[i]["x"], np.float32), None
+    return fit(x, y, prior, frequency[:-1], int(frequency[-1]))
 
 
 def scores(model: Model, texts: pa.Array) -> np.ndarray:
