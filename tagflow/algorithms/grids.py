@@ -73,26 +73,52 @@ def jacobi(grid: DataFrame, epsilon: float, most: int = 100) -> DataFrame:
     return state.withColumn("rounds", F.lit(k + 1))
 
 
-def sor(grid: DataFrame, omega: float, rounds: int) -> DataFrame:
-    """Successive over-relaxation in row order (Q16): north and west are new, south and east old; edges are fixed.
+def sor(grid: DataFrame, n: int, m: int, omega: float, rounds: int, b: int = 64) -> DataFrame:
+    """Successive over-relaxation of a dense n x m grid (i, j, v) in row order (Q16): north and west are new, south and
+    east old; edges are fixed.
 
-    The cells (i, j) of all rounds k with the same i + j + 2k only need what earlier such fronts made, so a front is one
-    parallel step. A front of all rounds is computed by shifting arrays of a diagonal, which a grouped map holds.
+    The grid is cut into tiles of b x b. In wave I + J + 2k tile (I, J) makes its round k: its northern and western
+    neighbours have just made theirs, the others not yet. All tiles of a wave run in parallel, and so do several rounds.
+    A wave shuffles tiles and their rims once.
     """
-
-    def relax(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, m = int(pdf["i"].max()) + 1, int(pdf["j"].max()) + 1
-        v = np.zeros((n, m))
-        v[pdf["i"], pdf["j"]] = pdf["v"]
-        fronts = [np.arange(max(1, s - m + 2), min(n - 1, s)) for s in range(2, n + m - 3)]
-        for _ in range(rounds):
-            for s, i in enumerate(fronts, 2):
-                j = s - i
-                v[i, j] = omega / 4 * (v[i + 1, j] + v[i, j + 1] + v[i - 1, j] + v[i, j - 1]) + (1 - omega) * v[i, j]
-        i, j = np.indices(v.shape)
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "i": i.ravel(), "j": j.ravel(), "v": v.ravel()})
-
-    return grid.groupBy("g").applyInPandas(relax, "g long, i long, j long, v double")
+    h, w = F.least(F.lit(b), n - F.col("ti") * b), F.least(F.lit(b), m - F.col("tj") * b)
+    cells = grid.select(F.expr(f"i div {b}").alias("ti"), F.expr(f"j div {b}").alias("tj"), F.struct(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v")).alias("c"))
+    state = cut(cells.groupBy("ti", "tj").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["v"]).alias("tile")))
+
+    @F.pandas_udf("array<double>")
+    def relax(k: pd.Series, i: pd.Series, j: pd.Series, tile: pd.Series, *rims: pd.Series) -> pd.Series:
+        return pd.Series([relaxed(i_ * b, j_ * b, x, sides, n, m, omega, b) if 1 <= k_ <= rounds else x for k_, i_, j_, x, *sides in zip(k, i, j, tile, *rims, strict=True)])
+
+    def column(at: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), (h - 1).cast("int")), lambda r: F.get("tile", (r * w + at).cast("int")))
+
+    rims = {"north": (1, 0, F.slice("tile", ((h - 1) * w + 1).cast("int"), w.cast("int"))), "south": (-1, 0, F.slice("tile", F.lit(1), w.cast("int"))), "west": (0, 1, column(w - 1)), "east": (0, -1, column(F.lit(0))), "tile": (0, 0, F.col("tile"))}
+    last = -(-n // b) + -(-m // b) - 2 + 2 * rounds
+    for wave in range(2, last + 1):
+        sent = F.array(*(F.struct((F.col("ti") + di).alias("ti"), (F.col("tj") + dj).alias("tj"), F.lit(name).alias("name"), values.alias("values")) for name, (di, dj, values) in rims.items()))
+        got = state.select(F.explode(sent).alias("r")).groupBy("r.ti", "r.tj").agg(*(F.max(F.when(F.col("r.name") == name, F.col("r.values"))).alias(name) for name in rims))
+        twice = wave - F.col("ti") - F.col("tj")
+        turn = F.when(twice % 2 == 0, twice / 2).otherwise(0).cast("long")
+        state = cut(got.where(F.col("tile").isNotNull()).select("ti", "tj", relax(turn, "ti", "tj", "tile", "north", "south", "west", "east").alias("tile")))
+    at = state.select("ti", "tj", w.alias("w"), F.posexplode("tile").alias("p", "v"))
+    return at.select((F.col("ti") * b + F.expr("p div w")).alias("i"), (F.col("tj") * b + F.expr("p % w")).alias("j"), "v")
+
+
+def relaxed(i0: int, j0: int, tile: np.ndarray, rims: list, n: int, m: int, omega: float, b: int) -> np.ndarray:
+    """One round of a tile whose first cell is (i0, j0): its diagonals one after another, the cells of each together."""
+    h, w = min(b, n - i0), min(b, m - j0)
+    v = np.zeros((h + 2, w + 2))
+    v[1:-1, 1:-1] = np.asarray(tile).reshape(h, w)
+    for rim, place in zip(rims, ((0, slice(1, -1)), (-1, slice(1, -1)), (slice(1, -1), 0), (slice(1, -1), -1)), strict=True):
+        if rim is not None:
+            v[place] = rim
+    top, bottom = 1 + (i0 == 0), h - (i0 + h == n)
+    left, right = 1 + (j0 == 0), w - (j0 + w == m)
+    for s in range(top + left, bottom + right + 1):
+        i = np.arange(max(top, s - right), min(bottom, s - left) + 1)
+        j = s - i
+        v[i, j] = omega / 4 * (v[i + 1, j] + v[i, j + 1] + v[i - 1, j] + v[i, j - 1]) + (1 - omega) * v[i, j]
+    return v[1:-1, 1:-1].ravel()
 
 
 def stencil_3d(grid: DataFrame, coefficients: Sequence[float], steps: int) -> DataFrame:
@@ -117,3 +143,18 @@ def stencil_3d(grid: DataFrame, coefficients: Sequence[float], steps: int) -> Da
 def boundary(value: Column, default: float) -> Column:
     """A neighbour's value, or the default beyond the edge."""
     return F.coalesce(value, F.lit(default))
+
+
+def traced(spark: SparkSession, width: int, height: int, spheres: Sequence[tuple[float, ...]], light: tuple[float, float, float]) -> DataFrame:
+    """x, y, sphere, shade: the nearest sphere (cx, cy, cz, radius) that the ray through each pixel meets, and how the
+    light falls on it (Q21). Rays run along z; the scene is a literal, so all pixels are one map."""
+    px, py = (F.col("x") + 0.5) / width * 2 - 1, (F.col("y") + 0.5) / height * 2 - 1
+    hits = []
+    for k, (cx, cy, cz, radius) in enumerate(spheres):
+        inside = radius * radius - (px - cx) * (px - cx) - (py - cy) * (py - cy)
+        z = cz - F.sqrt(F.greatest(inside, F.lit(0.0)))
+        shade = ((px - cx) * light[0] + (py - cy) * light[1] + (z - cz) * light[2]) / radius
+        hits.append(F.when(inside > 0, F.struct(z.alias("z"), F.lit(k).alias("sphere"), shade.alias("shade"))))
+    nearest = F.array_min(F.array_compact(F.array(*hits)))
+    pixels = spark.range(width * height).select((F.col("id") % width).alias("x"), F.expr(f"id div {width}").alias("y"))
+    return pixels.select("x", "y", nearest.alias("hit")).select("x", "y", "hit.sphere", F.greatest(F.col("hit.shade"), F.lit(0.0)).alias("shade"))

@@ -40,6 +40,12 @@ def multiply(a: DataFrame, c: DataFrame) -> DataFrame:
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
+def gemm(a: DataFrame, c: DataFrame, onto: DataFrame, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
+    """alpha * a * c + beta * onto (Q13): a step of a chain of products; one shuffle adds both."""
+    both = multiply(a, c).select("i", "j", (F.col("v") * alpha).alias("v")).unionByName(onto.select("i", "j", (F.col("v") * beta).alias("v")))
+    return both.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 def multiply_tiles(a: DataFrame, c: DataFrame, b: int) -> DataFrame:
     """The same on tiles: a tile product for each pair that meets, tiles summed by their place; sums combine on the map side of a second step."""
 

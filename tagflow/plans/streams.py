@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagflow.sources import table
-from tagflow.streaming import actor, counted_sum, cross, drained, latest, memoized, stream, total_by
+from tagflow.streaming import actor, counted_sum, cross, drained, latest, memoized, stream, total_by, windowed
 
 
 def of(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,7 +40,14 @@ def k7_stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     return drained(latest(of(spark, sf, "events"), "user_id", "event_id", "event_type", "value", ["click", "view"])).select(F.col("order").alias("event_id"), "last_click", "last_view")
 
 
-QUERIES = {"K2_stream_cross": k2_stream_cross, "K3_stream_counted": k3_stream_counted, "K3_stream_total": k3_stream_total, "K5_stream_memo": k5_stream_memo, "K6_stream_actor": k6_stream_actor, "K7_stream_latest": k7_stream_latest}
+def k9_stream_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Our own extension: sums of hours."""
+    rows = of(spark, sf, "events").select("ts", F.col("value").cast("decimal(28,2)").alias("v"))
+    out = drained(windowed(rows, "ts", "1 hour", "1 day", "v"), "complete")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), F.col("value").cast("double").alias("value"), "n")
+
+
+QUERIES = {"K2_stream_cross": k2_stream_cross, "K3_stream_counted": k3_stream_counted, "K3_stream_total": k3_stream_total, "K5_stream_memo": k5_stream_memo, "K6_stream_actor": k6_stream_actor, "K7_stream_latest": k7_stream_latest, "K9_stream_windows": k9_stream_windows}
 
 SQL = {
     "K2_stream_cross": "SELECT r_regionkey, n_nationkey FROM region, nation",
@@ -50,6 +57,7 @@ SQL = {
     "K3_stream_total": "SELECT event_type, sum(value::DECIMAL(28,2))::DOUBLE AS value, count(*) AS n_reduced FROM events GROUP BY event_type",
     "K5_stream_memo": "SELECT DISTINCT user_id, event_type FROM events",
     "K6_stream_actor": "SELECT event_id, round(value + row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1, 6) AS out FROM events",
+    "K9_stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, sum(value::DECIMAL(28,2))::DOUBLE AS value, count(*) AS n FROM events GROUP BY ALL",
     "K7_stream_latest": """
         SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER w, 0) AS last_click,
           coalesce(last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER w, 0) AS last_view

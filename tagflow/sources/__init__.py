@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tagflow.storage import fresh
 
@@ -86,13 +87,43 @@ def deflated(rows: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def write_image(pixels: DataFrame, path: str, width: int, height: int) -> None:
-    """Pixels (x, y, r, g, b) as rows of a P6 image (S14): a part file a band of rows, in order, the header first."""
-    rows = pixels.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("x", "r", "g", "b"))).alias("p"))
-    band = F.concat_ws("", F.transform("p", lambda q: F.concat(*(F.lpad(F.hex(q[c].cast("int")), 2, "0") for c in "rgb"))))
-    head = rows.sparkSession.createDataFrame([(-1, f"P6\n{width} {height}\n255\n".encode().hex())], "y long, band string")
-    rows.select(F.col("y").cast("long").alias("y"), band.alias("band")).unionByName(head).repartitionByRange("y").sortWithinPartitions("y").write.parquet(path)
+    """Pixels (x, y, r, g, b) as a plain-text image (P3) in text files (S14): end to end in their order they are the image."""
+    image_rows(pixels, width, height).repartitionByRange("y").sortWithinPartitions("y").select("line").write.text(path)
 
 
+def image_rows(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """y and line: a line of numbers for each row of pixels, behind the header at -1."""
+    rows = pixels.groupBy(F.col("y").cast("long").alias("y")).agg(F.array_sort(F.collect_list(F.struct("x", "r", "g", "b"))).alias("p"))
+    line = F.array_join(F.transform("p", lambda q: F.concat_ws(" ", *(q[c].cast("int").cast("string") for c in "rgb"))), " ")
+    head = pixels.sparkSession.range(1).select(F.lit(-1).cast("long").alias("y"), F.lit(f"P3 {width} {height} 255").alias("line"))
+    return rows.select("y", line.alias("line")).unionByName(head)
+
+
+class RangeSource(DataSource):
+    """A range of tags as a data source (U8, U9): options first, last, step and parts; each part is read by a task."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tag_range"
+
+    def schema(self) -> str:
+        return "tag long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return RangeReader(*(int(self.options.get(k, d)) for k, d in (("first", 0), ("last", 0), ("step", 1), ("parts", 1))))
+
+
+class RangeReader(DataSourceReader):
+    def __init__(self, first: int, last: int, step: int, parts: int):
+        self.tags, self.parts = range(first, last, step), max(1, parts)
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition((k * len(self.tags) // self.parts, (k + 1) * len(self.tags) // self.parts)) for k in range(self.parts)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        low, high = partition.value
+        for at in range(low, high, 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(self.tags[at : min(high, at + 10_000)], pa.int64())], names=["tag"])
 
 
 def graph_edges(spec: str) -> list[tuple[str, str, str]]:
