@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,10 +77,6 @@ def archive(chunks: DataFrame, order: list[str], data: str = "data") -> DataFram
 
 def deflated(rows: DataFrame, column: str = "payload") -> DataFrame:
     """``column`` compressed by zlib where it isn't null."""
-    import zlib
-
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def squeeze(s: pd.Series) -> pd.Series:
         return s.map(lambda b: None if b is None else zlib.compress(bytes(b)))
