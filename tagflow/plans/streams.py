@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagflow.sources import table
-from tagflow.streaming import actor, counted_sum, cross, drained, latest, memoized, stream, total_by, windowed
+from tagflow.streaming import actor, counted_sum, cross, drained, emitted_once, latest, memoized, stream, total_by, windowed
 
 
 def of(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,7 +20,7 @@ def k2_stream_cross(spark: SparkSession, sf: str) -> DataFrame:
 def k3_stream_counted(spark: SparkSession, sf: str) -> DataFrame:
     counts = of(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 3 == 0, -1).otherwise(F.col("o_orderkey") % 7 + 1).alias("n"))
     items = of(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("v"))
-    return drained(counted_sum(items, counts, "k", "v")).select("key", F.round("value", 2).alias("value"), "n_reduced")
+    return emitted_once(counted_sum(items, counts, "k", "v"), "key").select("key", F.round("value", 2).alias("value"), "n_reduced")
 
 
 def k3_stream_total(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tagflow.storage import fresh
@@ -48,29 +49,38 @@ def memoized(tags: DataFrame, *keys: str) -> DataFrame:
 
 
 def counted_sum(items: DataFrame, counts: DataFrame, key: str, value: str) -> DataFrame:
-    """A keyed sum that comes out once, when as many items were reduced as its count says (K3); -1: at once.
+    """A keyed sum as soon as as many items were reduced as its count says (K3); -1: at once. Read it with ``emitted_once``.
 
-    items (key, value) and counts (key, n) may arrive in any order; items behind the emission are folded, never emitted.
+    items (key, value) and counts (key, n) may arrive in any order. State, one row a key, is Spark's own aggregate's, so
+    partial sums are combined before the shuffle; items behind the emission are folded, never emitted.
     """
     both = items.select(F.col(key).alias("key"), F.col(value).cast("double").alias("value"), F.lit(None).cast("long").alias("n")).unionByName(
         counts.select(F.col(key).alias("key"), F.lit(None).cast("double").alias("value"), F.col("n").cast("long").alias("n"))
     )
+    sums = both.groupBy("key").agg(F.sum("value").alias("value"), F.count("value").alias("n_reduced"), F.max("n").alias("n"))
+    done = (F.col("n_reduced") == F.col("n")) | ((F.col("n") == -1) & (F.col("n_reduced") > 0))
+    return sums.where(done).select("key", F.coalesce("value", F.lit(0.0)).alias("value"), "n_reduced")
 
-    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, seen, expected, done = state.get if state.exists else (0.0, 0, None, False)
-        for f in frames:
-            total += float(f["value"].sum())
-            seen += int(f["value"].notna().sum())
-            if f["n"].notna().any():
-                expected = int(f["n"].dropna().iloc[-1])
-        now = not done and expected is not None and (seen == expected or (expected == -1 and seen > 0))
-        state.update((total, seen, expected, done or now))
-        if now:
-            yield pd.DataFrame({"key": [k[0]], "value": [total], "n_reduced": [seen]})
-
-    return both.groupBy("key").applyInPandasWithState(
-        fold, "key long, value double, n_reduced long", "total double, seen long, expected long, done boolean", "append", GroupStateTimeout.NoTimeout
-    )
+
+def emitted_once(rows: DataFrame, *keys: str) -> DataFrame:
+    """The first row that each key of a stream in update mode gives, over everything available now.
+
+    A batch writes a folder of its own, anew if it is repeated, without the keys of the folders before it.
+    """
+    spark = rows.sparkSession
+    out, state = fresh(spark, "stream"), fresh(spark, "stream-state")
+    kept = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
+
+    def put(batch: DataFrame, number: int) -> None:
+        new = batch
+        if number:
+            before = batch.sparkSession.read.schema(kept).parquet(out).where(F.col("batch") < number)
+            new = new.join(before.select(*keys), list(keys), "left_anti").select(*batch.columns)
+        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = rows.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(kept).parquet(out).select(*rows.columns)
 
 
 def actor(inputs: DataFrame, key: str, order: str, value: str, first: float = 0.0) -> DataFrame:
