@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagflow.operators.ranges import in_ranges, same_keys
+
 
 def cross_product(a: DataFrame, b: DataFrame) -> DataFrame:
     """The incremental cross product in canonical form: each side as a set, each pair once (J1, J1a-c).
@@ -52,3 +54,17 @@ def latest_values(rows: DataFrame, order: Sequence[str], kind: str, value: str,
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     last = lambda k: F.last(F.when(F.col(kind) == k, F.col(value)), ignorenulls=True).over(w)
     return rows.select("*", *(F.coalesce(last(k), F.lit(default)).alias(f"last_{k}") for k in kinds))
+
+
+def latest_in_ranges(rows: DataFrame, order: Sequence[str], kind: str, value: str, kinds: Sequence[str], by: Sequence[str] = (), default: float = 0.0) -> DataFrame:
+    """The same for histories of any length: latest values in sampled ranges, and for the rows before a range's first one
+    what the ranges before end with, one row for each key and range."""
+    dealt = in_ranges(rows, *by, *order)
+    inside = Window.partitionBy("_part", *by).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    given = {k: F.when(F.col(kind) == k, F.col(value)) for k in kinds}
+    local = dealt.select("*", *(F.last(c, ignorenulls=True).over(inside).alias(f"_l_{k}") for k, c in given.items()))
+    ends = dealt.groupBy("_part", *by).agg(*(F.max_by(c, F.when(c.isNotNull(), F.col("_row"))).alias(f"_e_{k}") for k, c in given.items()))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("_part").alias("_o__part"), *(F.col(c).alias(f"_o_{c}") for c in by), *(F.last(f"_e_{k}", ignorenulls=True).over(earlier).alias(f"_b_{k}") for k in kinds))
+    out = local.join(ends, same_keys(["_part", *by]))
+    return out.select(*rows.columns, *(F.coalesce(f"_l_{k}", f"_b_{k}", F.lit(default)).alias(f"last_{k}") for k in kinds))

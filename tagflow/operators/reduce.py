@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagflow.operators.ranges import in_ranges, same_keys
+
 
 def reduce_items(
     items: DataFrame,
@@ -40,6 +42,21 @@ def running(rows: DataFrame, by: list[str], order: list[str], value: Column, nam
     return rows.withColumn(name, F.sum(value).over(w))
 
 
+def running_in_ranges(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str = "running") -> DataFrame:
+    """The same where a key may hold any share of the rows: prefix sums in sampled ranges, and what the ranges before add.
+
+    What ranges tell each other is one sum for each key and range.
+    """
+    dealt = in_ranges(rows.withColumn("_value", value), *by, *order)
+    inside = Window.partitionBy("_part", *by).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumn("_local", F.sum("_value").over(inside))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_part", *by).agg(F.sum("_value").alias("_sum")).withColumn("_before", F.sum("_sum").over(earlier))
+    twins = sums.select(F.col("_part").alias("_o__part"), *(F.col(c).alias(f"_o_{c}") for c in by), "_before")
+    total = F.when(F.col("_before").isNull(), F.col("_local")).otherwise(F.col("_before") + F.coalesce("_local", F.lit(0)))
+    return local.join(twins, same_keys(["_part", *by])).select(*rows.columns, total.alias(name))
+
+
 def reduce_until(rows: DataFrame, by: list[str], order: list[str], value: Column, limit: float) -> DataFrame:
     """The first row of each key whose running sum exceeds ``limit`` (A7); keys that never do give none."""
     sums = running(rows, by, order, value)

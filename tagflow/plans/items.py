@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagflow.model import ItemTable, TagSet
-from tagflow.operators import joins, reduce, steps
+from tagflow.operators import joins, ranges, reduce, steps
 from tagflow.sources import archive, strided_range, table
 
 TOTAL = "decimal(38,2)"
@@ -200,18 +200,7 @@ def a9_tree_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def q7_sort(spark: SparkSession, sf: str) -> DataFrame:
     """The rank of every order by price: ranges are sorted apart and numbered by the ranges before them."""
-    return range_ranks(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
-
-
-def range_ranks(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` with their 1-based ``rank`` over all rows, without one task that sees all (Q7)."""
-    from tagflow.storage import cut
-
-    place = F.monotonically_increasing_id()
-    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.shiftright(place, 33)).withColumn("_row", place.bitwiseAND((1 << 33) - 1)))
-    sizes = dealt.groupBy("_part").count()
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_before"))
-    return dealt.join(before, "_part").select(*rows.columns, (F.col("_before") + F.col("_row") + 1).alias("rank"))
+    return ranges.ranked(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
 
 
 def q20_dedup(spark: SparkSession, sf: str) -> DataFrame:

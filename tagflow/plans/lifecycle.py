@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tagflow import functions, sources
 from tagflow.algorithms import grids, tiles
 from tagflow.model import ItemTable, TagSet
-from tagflow.operators import joins, reduce, steps
-from tagflow.plans.items import TOTAL, range_ranks
+from tagflow.operators import joins, ranges, reduce, steps
+from tagflow.plans.items import TOTAL
 from tagflow.sources import strided_range, table
 
 
@@ -122,7 +122,7 @@ def c7_placement(spark: SparkSession, sf: str) -> DataFrame:
 def c12_sequentialize(spark: SparkSession, sf: str) -> DataFrame:
     """Odd tags run alone behind the others, the last put first: their turns."""
     odd = strided_range(spark, 0, 18).where("tag % 2 = 1").select((-F.col("tag")).alias("order"), "tag")
-    return range_ranks(odd, "order").select("tag", F.col("rank").alias("turn"))
+    return ranges.ranked(odd, "order").select("tag", F.col("rank").alias("turn"))
 
 
 def c14_range_grain(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,8 +256,20 @@ def q28_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return reduce.fanout_audit(gets, items, "k").select("k", "gets")
 
 
+def a6_hot_prefix_sum(spark: SparkSession, sf: str) -> DataFrame:
+    """Prefix sums that no key, however hot, makes one task's load."""
+    rows = table(spark, sf, "events").select("user_id", "ts", "event_id", F.col("value").cast(TOTAL).alias("v"))
+    return reduce.running_in_ranges(rows, ["user_id"], ["ts", "event_id"], F.col("v")).select("event_id", F.col("running").cast("double").alias("running"))
+
+
+def j5_hot_latest_value(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest values of all events as one history, in ranges."""
+    events = table(spark, sf, "events").select("ts", "event_id", "event_type", "value")
+    return joins.latest_in_ranges(events, ["ts", "event_id"], "event_type", "value", ["click", "view"]).select("event_id", "last_click", "last_view")
+
+
 QUERIES = {
-    "S1_puts": s1_puts, "S2_tag_puts": s2_tag_puts, "S6_text_blocks": s6_text_blocks, "S8_stored_items": s8_stored_items, "S9_env_get": s9_env_get, "S12_sizes": s12_sizes,
+    "A6_prefix_sum_ranges": a6_hot_prefix_sum, "J5_latest_value_ranges": j5_hot_latest_value, "S1_puts": s1_puts, "S2_tag_puts": s2_tag_puts, "S6_text_blocks": s6_text_blocks, "S8_stored_items": s8_stored_items, "S9_env_get": s9_env_get, "S12_sizes": s12_sizes,
     "S13_reset": s13_reset, "S14_image": s14_image, "S16_graph_spec": s16_graph_spec, "P6_tokens": p6_tokens, "P8_many_steps": p8_many_steps, "P10_parameters": p10_parameters,
     "I2_four_gets": i2_four_gets, "J3_point_join": j3_point_join, "C7_placement": c7_placement, "C12_sequentialize": c12_sequentialize, "C14_range_grain": c14_range_grain,
     "C16_parallel_for": c16_parallel_for, "C24_statistics": c24_statistics, "U2_own_aggregate": u2_own_aggregate, "U8_data_source": u8_data_source, "F1_strings": f_strings,
@@ -268,7 +280,17 @@ QUERIES = {
 CELLS = "SELECT i, j, (CASE WHEN i = j THEN 2.0 * {n} ELSE 0.0 END + (i * j % 5 + least(i, j) % 3))::DOUBLE AS v FROM range({n}) a(i), range({n}) b(j)"
 ROUND = "SELECT n, cr, ci, zr * zr - zi * zi + cr AS zr, 2 * zr * zi + ci AS zi FROM ({})"
 COMPLEX = "SELECT p_partkey AS n, p_size / 50 - 1 AS cr, p_partkey % 7 / 7 AS ci, p_size / 50 - 1 AS zr, p_partkey % 7 / 7 AS zi FROM part"
+WAVE = """
+        SELECT a.x, a.y, a.z, CASE WHEN count(b.u) = 12 THEN 2 * a.u - a.before - 0.75::DOUBLE * a.u
+          + sum(CASE abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) WHEN 1 THEN 0.1::DOUBLE ELSE 0.025::DOUBLE END * b.u) ELSE a.u END AS u, a.u AS before
+        FROM {0} a LEFT JOIN {0} b ON abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) BETWEEN 1 AND 2
+          AND (a.x = b.x)::INT + (a.y = b.y)::INT + (a.z = b.z)::INT = 2 GROUP BY a.x, a.y, a.z, a.u, a.before"""
 SQL = {
+    "A6_prefix_sum_ranges": "SELECT event_id, (sum(value::DECIMAL(38,2)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::DOUBLE AS running FROM events",
+    "J5_latest_value_ranges": """
+        SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER w, 0) AS last_click,
+          coalesce(last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER w, 0) AS last_view
+        FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "S1_puts": "SELECT c_custkey, c_name FROM customer",
     "S2_tag_puts": "SELECT o_custkey, count(*) * CASE WHEN o_custkey % 5 = 0 THEN 2 ELSE 1 END AS n FROM orders GROUP BY o_custkey",
     "S6_text_blocks": "SELECT count(*) AS lines, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')))::BIGINT AS words FROM documents",
@@ -309,6 +331,26 @@ SQL = {
         WITH a AS ({CELLS.format(n=10)}), p AS (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM a x JOIN a y ON x.j = y.i GROUP BY ALL),
         b AS (SELECT i, j, 0.5 * p.v + 2 * a.v AS v FROM p JOIN a USING (i, j)), q AS (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM b x JOIN a y ON x.j = y.i GROUP BY ALL)
         SELECT i, j, round(q.v - b.v, 6) AS v FROM q JOIN b USING (i, j)""",
+    # Cell by cell in row order: 22 x 22 inner cells, 4 rounds.
+    "Q16_sor": """
+        WITH RECURSIVE s(t, v) AS (
+          SELECT 0, list_transform(range(576), lambda p: (p % 24 * 11 % 100) * 0.01::DOUBLE)
+          UNION ALL
+          SELECT t + 1, v[:p] || [0.3::DOUBLE / 4 * (v[p + 25] + v[p + 2] + v[p - 23] + v[p]) + (1 - 0.3::DOUBLE) * v[p + 1]] || v[p + 2:]
+          FROM (SELECT t, v, (t % 484 // 22 + 1) * 24 + t % 22 + 1 AS p FROM s WHERE t < 1936))
+        SELECT p // 24 AS i, p % 24 AS j, round(v[p + 1], 9) AS v FROM s, range(576) r(p) WHERE t = 1936""",
+    "Q17_jacobi": """
+        WITH RECURSIVE s(k, v, moved) AS (
+          SELECT 0, list_transform(range(144), lambda p: (p % 12 * 11 % 100) * 0.01::DOUBLE), 1::DOUBLE
+          UNION ALL
+          SELECT k + 1, new, list_max(list_transform(range(144), lambda p: abs(new[p + 1] - v[p + 1])))
+          FROM (SELECT k, v, list_transform(range(144), lambda p: CASE WHEN p < 12 OR p >= 132 OR p % 12 IN (0, 11) THEN v[p + 1]
+            ELSE (v[p - 11] + v[p + 13] + v[p] + v[p + 2]) / 4 END) AS new FROM s WHERE moved >= 0.005))
+        SELECT p // 12 AS i, p % 12 AS j, round(v[p + 1], 9) AS v, k AS rounds FROM s, range(144) r(p) WHERE moved < 0.005""",
+    "Q18_stencil": f"""
+        WITH g AS (SELECT x, y, z, (x = 5 AND y = 5 AND z = 5)::INT::DOUBLE AS u, 0::DOUBLE AS before FROM range(10) a(x), range(10) b(y), range(10) c(z)),
+        one AS ({WAVE.format("g")}), two AS ({WAVE.format("one")})
+        SELECT x, y, z, round(u, 9) AS u FROM two""",
     "Q21_rays": f"""
         WITH s AS (SELECT * FROM (VALUES {", ".join(f"({k}, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE, {r}::DOUBLE)" for k, (x, y, z, r) in enumerate(SPHERES))}) v(k, cx, cy, cz, r)),
         p AS (SELECT x, y, (x + 0.5::DOUBLE) / 64 * 2 - 1 AS px, (y + 0.5::DOUBLE) / 48 * 2 - 1 AS py FROM range(64) a(x), range(48) b(y)),

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from tagflow import functions, sources, streaming
 from tagflow.algorithms import grids, recursion, tiles
 from tagflow.model import Graph, ItemTable, TagSet, canonical
-from tagflow.operators import joins, reduce, steps
+from tagflow.operators import joins, ranges, reduce, steps
 from tagflow.operators.iterate import frontier, loop
-from tagflow.plans.items import range_ranks
 
 
 def rows(df, *order):
@@ -138,10 +137,23 @@ def test_running_and_until(spark):
 
 def test_ranks_over_ranges(spark):
     values = random.Random(1).sample(range(10_000), 500)
-    out = range_ranks(frame(spark, [(v,) for v in values], "v int"), "v")
+    out = ranges.ranked(frame(spark, [(v,) for v in values], "v int"), "v")
     assert rows(out, "v") == [(v, k) for k, v in enumerate(sorted(values), 1)]
 
 
+def test_ranges_give_what_windows_give(spark):
+    rng = random.Random(2)
+    data = [(rng.choice([1, 1, 1, 2, None]), t, rng.choice("ab"), rng.choice([None, 1.0, 2.0, 3.0])) for t in range(300)]
+    df = frame(spark, data, "k int, t int, kind string, v double").repartition(3)
+    a, b = reduce.running_in_ranges(df, ["k"], ["t"], F.col("v")), reduce.running(df, ["k"], ["t"], F.col("v"))
+    assert rows(a, "t") == rows(b.select(*a.columns), "t")
+    for by in ([], ["k"]):
+        a = joins.latest_in_ranges(df, ["t"], "kind", "v", ["a", "b"], by)
+        b = joins.latest_values(df, ["t"], "kind", "v", ["a", "b"], by)
+        assert rows(a, "t") == rows(b.select(*a.columns), "t")
+    assert reduce.running_in_ranges(df.limit(0), ["k"], ["t"], F.col("v")).count() == 0
+
+
 def test_fanout_audit(spark):
     items = frame(spark, [(1, 2), (2, 1), (3, 0)], "k int, n int")
     gets = frame(spark, [(1,), (1,), (2,), (2,)], "k int")
