@@ -1,4 +1,4 @@
-"""The dataflow model's rules, one by one, and reference results of its computations."""
+"""The dataflow model's rules, one by one, and known results of its computations."""
 
 import random
 import zlib
