@@ -37,6 +37,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables are broadcast up to this size, which is measured first.
+BROADCAST_BYTES = 8 << 20
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` written, and marked for a broadcast if its values have ``limit`` bytes at most; else it joins by a shuffle."""
+    out = written(df)
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in out.dtypes if kind == "string"]
+    size = out.agg(F.coalesce(F.sum(sum(sizes, F.lit(16 * len(out.columns)))), F.lit(0))).first()[0]
+    return F.broadcast(out) if size <= limit else out
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that their texts have about ``limit`` bytes; nulls in ``text`` become empty."""
     for batch in batches:

@@ -16,16 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagflow.llm.common import written
+from tagflow.llm.common import broadcast_if_small, written
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: A host goes when its shrunk failure rate exceeds this.
 MAX_HOST_RATE = 0.5
 
-#: Failing hosts' names are broadcast up to this size.
-BROADCAST_BYTES = 8 << 20
-
 SYMBOLS = "#*$%&|<>"
 WHITE = "\t\n\v\f\r "
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -83,13 +80,13 @@ def host_verdicts(rated: DataFrame, host: str, failed: str, max_rate: float = MA
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """``key``, the metrics, ``base_failed``, the host's figures and ``kept`` for each row of ``docs``.
 
-    Only keys and metrics are written, once; hosts are pre-aggregated on the map side, and the verdict, one row per
-    host, joins back by a plain equi-join, which Spark broadcasts if it measures it small and else splits where skewed.
+    Only keys and metrics are written, once; hosts are pre-aggregated on the map side, and the verdicts, one row per
+    host, join back by a broadcast where their measured size allows it, else by an equi-join that Spark splits where skewed.
     """
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     named = docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), F.col(text).alias("_body"))
     rated = written(measured(named, ["_key", "_host"], "_body").withColumn("base_failed", base))
-    out = rated.join(host_verdicts(rated, "_host", "base_failed", max_rate), "_host", "left")
+    out = rated.join(broadcast_if_small(host_verdicts(rated, "_host", "base_failed", max_rate)), "_host", "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("host_failed"), F.lit(False))
     metrics = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return out.select(F.col("_key").alias(key), *metrics, F.round("host_rate", 9).alias("host_rate"), kept.alias("kept"))
@@ -99,13 +96,12 @@ def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", hos
     """The rows of ``docs`` that rules and hosts keep, all columns as they are.
 
     The rules read the texts once to count and once more to filter, so that texts need no shuffle where the failing
-    hosts' names have BROADCAST_BYTES at most: these are then broadcast. More of them join by a shuffled equi-join.
+    hosts are a small table: these are then broadcast. More of them join by a shuffled equi-join.
     """
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     named = docs.select(F.col(host).alias("_host"), F.col(text).alias("_body"))
     rated = written(measured(named, ["_host"], "_body").select("_host", base.alias("base_failed")))
-    bad = written(host_verdicts(rated, "_host", "base_failed", max_rate).where("host_failed").select(F.col("_host").alias(host)))
-    size = bad.agg(F.coalesce(F.sum(F.octet_length(F.col(host).cast("string")) + 16), F.lit(0))).first()[0]
+    bad = broadcast_if_small(host_verdicts(rated, "_host", "base_failed", max_rate).where("host_failed").select(F.col("_host").alias(host)))
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,4 +111,4 @@ def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", hos
                 fine.append(not (n < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * n))
             yield b.filter(pa.array(fine, pa.bool_()))
 
-    return docs.mapInArrow(passing, docs.schema).join(F.broadcast(bad) if size <= BROADCAST_BYTES else bad, host, "left_anti").select(*docs.columns)
+    return docs.mapInArrow(passing, docs.schema).join(bad, host, "left_anti").select(*docs.columns)

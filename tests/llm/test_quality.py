@@ -56,6 +56,12 @@ def test_a_failing_host_takes_its_documents_along(spark):
     assert not any(out[i] for i in range(50)) and all(out[100 + i] for i in range(60))
 
 
+def test_rules_without_a_broadcast_give_the_same(docs, rows, monkeypatch):
+    monkeypatch.setattr(quality_rules, "broadcast_if_small", lambda df: df)
+    test_rules_and_hosts(docs, rows)
+    test_kept_documents_are_the_kept_rows(docs, rows)
+
+
 def test_rules_on_nothing(nothing):
     assert quality_rules.quality_rules(nothing).count() == 0
     assert quality_rules.kept_documents(nothing).count() == 0
