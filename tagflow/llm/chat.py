@@ -1,17 +1,18 @@
 """Cumulative-snapshot collapse of logged conversations, then chat formatting.
 
-A service that logs a conversation after every turn leaves prefixes of the longer ones. Each conversation gets a
-rolling hash per turn; those whose whole hash is a proper prefix hash of another are dropped by an anti-join, equal
-ones leave the smallest id, and the rest are rendered.
+A service that logs a conversation after every turn leaves prefixes of the longer ones. A rolling hash runs along each
+conversation's turns; those whose whole hash is a proper prefix's hash of another are dropped by an anti-join, equal ones
+leave the smallest id, and only the rest are rendered.
 
 Cases: turns are ordered by turn, then role and text (nulls first), so repeated turn numbers have one order. Null
 roles and texts count as their own value and are rendered empty. Rows without a conversation id are a conversation of
-their own (null). An empty table gives an empty result. Only the named columns are read.
+their own (null). A very long conversation is hashed in one pass; its text comes together only if it is kept. An empty
+table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagflow.llm.common import written
@@ -19,32 +20,42 @@ from tagflow.llm.common import written
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def turn_digest(role: Column, text: Column) -> Column:
-    """Tells a null from an empty string, and where the role ends."""
+def turn_digest(role: Column, text: Column, place: Column, salt: str) -> Column:
+    """A hash of a turn at its place, as a number that sums without overflow; tells a null from an empty string."""
     shown = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
-    return F.sha2(F.concat(F.length(shown(role)).cast("string"), shown(role), shown(text)), 256)
+    return F.xxhash64(F.lit(salt), place, shown(role), F.lit("|"), shown(text)).cast("decimal(20,0)")
 
 
-def prefix_hashes(digests: Column) -> Column:
-    """The rolling hash after each turn."""
-    step = lambda acc, d: F.array_append(acc, F.sha2(F.concat(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("")), d), 256))
-    return F.aggregate(digests, F.array().cast("array<string>"), step)
+def prefixes(turns: DataFrame) -> DataFrame:
+    """conv_id, n_turns, h1, h2 and is_last of each prefix of the conversations in turns (conv_id, turn, role, text).
 
+    The rolling hash is a running sum of two 64-bit hashes of the turns at their places.
+    """
+    order = Window.partitionBy("conv_id").orderBy(*(F.col(c).asc_nulls_first() for c in ("turn", "role", "text")))
+    placed = turns.select("conv_id", "turn", "role", "text", F.row_number().over(order).cast("long").alias("n_turns"), F.lead(F.lit(1)).over(order).isNull().alias("is_last"))
+    hashed = placed.select("conv_id", "n_turns", "is_last", *(turn_digest(F.col("role"), F.col("text"), F.col("n_turns"), s).alias(f"d{s}") for s in "12"))
+    along = Window.partitionBy("conv_id").orderBy("n_turns").rowsBetween(Window.unboundedPreceding, 0)
+    return hashed.select("conv_id", "n_turns", "is_last", *(F.sum(f"d{s}").over(along).alias(f"h{s}") for s in "12"))
 
-def chat_format(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, n_turns, n_copies (equal conversations) and rendered, for each maximal conversation.
+
+def maximal(turns: DataFrame) -> DataFrame:
+    """conv_id, n_turns and n_copies (equal conversations) of the conversations that are no proper prefix of another.
 
     Equal conversations and equal prefixes are each pre-aggregated before they meet, so a very common opening is one row.
     """
+    found, key = written(prefixes(turns)), ["n_turns", "h1", "h2"]
+    unique = found.where("is_last").groupBy(*key).agg(F.min(F.struct(F.col("conv_id").isNotNull().alias("known"), "conv_id")).alias("first"), F.count("*").alias("n_copies"))
+    longer = found.where("NOT is_last").select(*key).distinct()
+    return unique.join(longer, key, "left_anti").select(F.col("first.conv_id").alias("conv_id"), "n_turns", "n_copies")
+
+
+def chat_format(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """conv_id, n_turns, n_copies and rendered, for each maximal conversation."""
     named = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    whole = named.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
+    kept = maximal(named).withColumnRenamed("conv_id", "_kept")
+    chosen = named.join(kept, named["conv_id"].eqNullSafe(F.col("_kept"))).drop("_kept")
+    whole = chosen.groupBy("conv_id", "n_turns", "n_copies").agg(F.array_sort(F.collect_list(F.struct(
         F.col("turn").isNotNull().alias("a"), "turn", F.col("role").isNotNull().alias("b"), "role", F.col("text").isNotNull().alias("c"), "text"))).alias("turns"))
     rendered = F.array_join(F.transform("turns", lambda t: F.concat(
         F.lit(START), F.coalesce(t["role"], F.lit("")), F.lit("\n"), F.coalesce(t["text"], F.lit("")), F.lit(END + "\n"))), "")
-    whole = whole.select("conv_id", F.size("turns").cast("long").alias("n_turns"), prefix_hashes(F.transform("turns", lambda t: turn_digest(t["role"], t["text"]))).alias("h"), rendered.alias("rendered"))
-    whole = written(whole)
-    unique = whole.groupBy("n_turns", F.element_at("h", -1).alias("hash")).agg(
-        F.min(F.struct(F.col("conv_id").isNotNull().alias("known"), "conv_id")).alias("first"), F.count("*").alias("n_copies"))
-    longer = whole.select(F.posexplode(F.slice("h", F.lit(1), F.size("h") - 1)).alias("pos", "hash")).select((F.col("pos") + 1).cast("long").alias("n_turns"), "hash").distinct()
-    kept = unique.join(longer, ["n_turns", "hash"], "left_anti").select(F.col("first.conv_id").alias("conv_id"), "n_copies")
-    return whole.join(kept, whole["conv_id"].eqNullSafe(kept["conv_id"])).select(whole["conv_id"], "n_turns", "n_copies", "rendered")
+    return whole.select("conv_id", "n_turns", "n_copies", rendered.alias("rendered"))
