@@ -29,8 +29,8 @@ from tokenizers import Tokenizer
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
-#: Pieces with other letters than these, an apostrophe or unusual white space are encoded one by one.
-RARE = r"[^\x00-\x{24f}]|['\x00\x0b\x1c-\x1f\x{85}\x{a0}\x{130}]"
+#: Pieces with other letters than these (whose lower case is among them), an apostrophe or unusual white space are encoded one by one.
+RARE = r"[^\x00-\x{17f}]|['\x00\x0b\x1c-\x1f\x{85}\x{a0}\x{130}]"
 
 #: Rare pieces that a worker remembers; the memory is emptied when full.
 REMEMBERED = 100_000

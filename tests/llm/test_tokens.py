@@ -52,6 +52,14 @@ def test_columns_are_encoded_as_by_the_library(path, texts):
     assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:], strict=False)] == [ids_of(path, t) for t in texts]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_every_letter_of_the_first_blocks(path):
+    texts = [form.replace("{}", chr(c)) for c in range(0x2100) for form in ("{}", "a{}b", "A {} 1{}2 '{}s")]
+    ids, offs = column(path).encode(pa.array(texts, pa.string()))
+    want = library(path).encode_batch(texts, add_special_tokens=False)
+    assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:], strict=False)] == [w.ids for w in want]
+
+
 def order(rows):
     return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
 
