@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagflow.llm import knn_quality, quality_rules, simhash
+from tagflow.llm import knn_quality, near_texts, quality_rules
 from tagflow.llm.common import shared_dir, table
 from tagflow.llm.queries import packed
 
@@ -27,8 +27,8 @@ def host_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest id."""
-    return simhash.deduplicated(docs)
+    """One document, that of the smallest id, of each group linked by a similarity of 0.8 or more of five-word shingles."""
+    return near_texts.deduplicated(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
