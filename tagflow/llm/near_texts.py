@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagflow.llm.common import broadcast_if_small, written
+from tagflow.llm.common import broadcast_if_small, unused, written
 from tagflow.llm.components import components
 from tagflow.llm.simhash import LOWER, cells
 
@@ -182,18 +182,27 @@ def links(docs: DataFrame, nodes: DataFrame, text: str, words: int, least: float
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """``key``, node and component (the smallest key reachable) for each row of ``docs``."""
+def grouped(docs: DataFrame, key: str, text: str, words: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """key and node of each row, and node, root (the same for the nodes of a component) and first (a node's least key)."""
     marked = written(signed(docs, key, text, words))
     nodes = written(marked.groupBy("node").agg(F.min("key").alias("first"), *(F.first(c).alias(c) for c in ("size", "sketch", "bands"))))
     roots = components(links(docs, nodes.where("size > 0"), text, words, least))
-    of = nodes.select("node", "first").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
+    return marked.select("key", "node"), nodes.select("node", "first").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """``key``, node and component (the smallest key reachable) for each row of ``docs``."""
+    marked, of = grouped(docs, key, text, words, least)
     named = of.join(of.groupBy("root").agg(F.min("first").alias("component")), "root").select("node", "component")
-    return marked.select("key", "node").join(named, "node").select(F.col("key").alias(key), "node", "component")
+    return marked.join(named, "node").select(F.col("key").alias(key), "node", "component")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """One row of ``docs`` for each component: that of its id. Rows without an id, which no component can name, stay."""
-    named = docs.where(F.col(key).isNotNull())
-    keep = near_duplicates(named, key, text, words, least).where(F.col(key) == F.col("component")).select(key).distinct()
-    return docs.join(keep, key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    """One row of ``docs`` for each component: that of its smallest id and, should that id have several of its texts, of
+    one text. An id of two components stays with a row for each. Rows without an id, which can name none, stay."""
+    _, of = grouped(docs.where(F.col(key).isNotNull()), key, text, words, least)
+    node, least_key = unused("_node", docs.columns), unused("_least", docs.columns)
+    keep = of.groupBy("root").agg(F.min(F.struct("first", "node")).alias("k")).select(F.col("k.first").alias(least_key), F.col("k.node").alias(f"{node}_kept"))
+    with_node = docs.withColumn(node, node_of(F.col(text)))
+    kept = with_node.join(keep, (F.col(key) == F.col(least_key)) & (F.col(node) == F.col(f"{node}_kept")), "left_semi").dropDuplicates([key, node]).drop(node)
+    return kept.unionByName(docs.where(F.col(key).isNull()))

@@ -87,3 +87,12 @@ def test_sketches_bound_the_difference():
         y = np.concatenate([x[n // 5 :], rng.integers(0, 1 << 64, n // 7, np.uint64)])
         s, t = (np.frombuffer(near_texts.signature(np.unique(v), a, a)[0], np.uint8) for v in (x, y))
         assert np.bitwise_count(s ^ t).sum() <= len(np.setxor1d(x, y))
+
+
+def test_an_id_of_two_texts_keeps_both(spark):
+    """Once for each component; equal rows once; a copy under a larger id does not stay in its stead."""
+    rng = random.Random(10)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b), (None, a), (None, a)]
+    got = near_texts.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(1, a), (1, b), (None, a), (None, a)])
