@@ -3,6 +3,7 @@
 A tree builder closes what the next tag implies (paragraphs, list items, rows, cells, options), visibility rules leave
 out what a reader never sees, and the renderer keeps the layout: blocks on lines of their own, blank lines around
 paragraphs and headings, markers and indents of lists, preformatted text as it is, and table cells padded into columns.
+What lies in a row outside its cells stands above the table.
 
 Cases: a null page gives null; an empty one, or one without visible text, gives an empty text. Unclosed, stray and
 misnested tags are mended, tags nested deeper than MAX_DEPTH become siblings at that depth, and no text is lost by it.
@@ -24,7 +25,7 @@ MAX_DEPTH = 150
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas svg math".split())
+UNSEEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr".split())
 BLOCKS = SPACED | frozenset("html body div section article aside header footer main nav form address li dt dd tr td th thead tbody tfoot caption details summary figcaption legend option optgroup".split())
 #: What an opening tag closes, up to the nearest of the scopes named behind.
@@ -36,8 +37,9 @@ IMPLIED = {
 }
 SCOPES = frozenset({"table", "td", "th", "button", "caption", "html", "body"})
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: A quote opens a value only behind an equals sign, elsewhere it is a character of its name or value.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|(?![\s\"'])[^\s>]+|(?=>)))*+)>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
@@ -217,12 +219,31 @@ def tabled(node: Element) -> list[str]:
                     above.append(SPACES.sub(" ", child).strip())
             elif not child.unseen():
                 if child.tag == "tr":
-                    rows.append([(laid_out(c), span(c)) for c in child.children if isinstance(c, Element) and c.tag in ("td", "th") and not c.unseen()])
+                    cells: list[Element] = []
+                    gather(child, cells)
+                    rows.append([(laid_out(c), span(c)) for c in cells])
                 elif child.tag in ("thead", "tbody", "tfoot"):
                     walk(child)
                 else:
                     above.extend(laid_out(child))
 
+    def gather(part: Element, cells: list[Element]) -> None:
+        """The cells of a row, also those in wrappers; what else it holds stands above the table."""
+        loose = Element("div")
+        for child in part.children:
+            if isinstance(child, str):
+                loose.children.append(child)
+            elif not child.unseen():
+                if child.tag in ("td", "th"):
+                    cells.append(child)
+                elif wraps(child):
+                    above.extend(laid_out(loose))
+                    loose = Element("div")
+                    gather(child, cells)
+                else:
+                    loose.children.append(child)
+        above.extend(laid_out(loose))
+
     walk(node)
     widths: dict[int, int] = {}
     for row in rows:
@@ -243,6 +264,11 @@ def tabled(node: Element) -> list[str]:
     return out
 
 
+def wraps(node: Element) -> bool:
+    """Whether cells of the row around ``node`` are in it, rather than in a table of its own."""
+    return any(isinstance(c, Element) and not c.unseen() and (c.tag in ("td", "th") or (c.tag != "table" and wraps(c))) for c in node.children)
+
+
 def span(cell: Element) -> int:
     value = cell.get("colspan") or ""
     return min(1000, max(1, int(value))) if re.fullmatch(r"\d{1,6}", value) else 1
