@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,8 +65,46 @@ def stored_items(items: DataFrame, path: str, mode: str = "append") -> DataFrame
     return items.sparkSession.read.schema(items.schema).parquet(path)
 
 
+#: Fixed values of the chunker (Q20, F8): a cut is where the hash of the last WINDOW bytes is 0 under CUT_MASK.
+WINDOW, CUT_MASK, MOST_CHUNK = 32, 0xFFF, 60 << 10
+
+
+def chunk_ends(data: bytes, most: int = MOST_CHUNK) -> list[int]:
+    """Ends of the content-defined chunks of ``data``, none longer than ``most``; cuts depend on the WINDOW bytes before them alone."""
+    values, ends, done = np.frombuffer(data, np.uint8).astype(np.uint32), [], 0
+    n, factor = len(values) - WINDOW + 1, 1
+    rolled = np.zeros(max(n, 0), np.uint32)
+    for k in range(WINDOW - 1, -1, -1):
+        if n > 0:
+            rolled += (values[k : k + n] + np.uint32(1)) * np.uint32(factor)
+        factor = factor * 0x01000193 & 0xFFFFFFFF
+    rolled ^= rolled >> np.uint32(15)
+    for end in [*(np.flatnonzero((rolled & np.uint32(CUT_MASK)) == 0) + WINDOW).tolist(), len(data)]:
+        while end - done > most:
+            done += most
+            ends.append(done)
+        if end > done:
+            done = end
+            ends.append(done)
+    return ends
+
+
+def content_chunks(blocks: DataFrame, block: str = "block", data: str = "data") -> DataFrame:
+    """block, item and data (binary) of the content-defined chunks of each block (F8): a narrow map. Null and empty blocks give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                ends = chunk_ends(content or b"")
+                parts = [content[x:y] for x, y in zip([0, *ends], ends)]  # noqa: B905
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(parts), name.type), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], names=["block", "item", "data"])
+
+    named = blocks.select(F.col(block).alias("block"), F.col(data).cast("binary").alias("data"))
+    return named.mapInArrow(run, f"block {dict(named.dtypes)['block']}, item long, data binary")
+
+
 def archive(chunks: DataFrame, order: list[str], data: str = "data") -> DataFrame:
-    """Each chunk in order with its fingerprint; the first of equal ones carries the data compressed.
+    """Each chunk in order with its fingerprint; the first of equal ones carries the data, which ``deflated`` compresses.
 
     First occurrences are found by an aggregate, so a chunk that occurs everywhere is no single task's load.
     """
