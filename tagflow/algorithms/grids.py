@@ -61,7 +61,9 @@ CROSS = ((-1, 0), (1, 0), (0, -1), (0, 1))
 
 
 def jacobi(grid: DataFrame, epsilon: float, most: int = 100) -> DataFrame:
-    """Relaxed (i, j, v) and the rounds it took: stops when no cell moves by ``epsilon`` (Q17, A8). Edges are fixed."""
+    """Relaxed (i, j, v) and the rounds it took: stops when no cell moves by ``epsilon`` (Q17, A8). Edges are fixed.
+
+    A grid that still moves after ``most`` rounds is an error."""
     state = cut(grid.select("i", "j", F.col("v").cast("double").alias("v")))
     for k in range(most):
         near = neighbours(state, CROSS, ("i", "j"), "v")
@@ -70,6 +72,8 @@ def jacobi(grid: DataFrame, epsilon: float, most: int = 100) -> DataFrame:
         state = moved.select("i", "j", "v")
         if (moved.agg(F.max("delta")).first()[0] or 0.0) < epsilon:
             break
+    else:
+        raise ValueError(f"cells still move by {epsilon} or more after {most} rounds")
     return state.withColumn("rounds", F.lit(k + 1))
 
 
