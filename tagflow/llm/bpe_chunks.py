@@ -1,38 +1,46 @@
 """BPE encoding that reuses content-defined chunks, and decoding.
 
-A rolling hash cuts every text into chunks wherever their content says so, so passages that documents share give equal
-chunks. Chunks found more than once are encoded once; each document then joins their ids with those of its own
-stretches. A cut may fall inside a token, so every joint is repaired: the text between the last safe place before the
-cut and the first one behind it is encoded anew, and the repaired ids replace those of both sides only where these
-agree with the re-encoded parts; else the window widens to the next safe place.
-
-A safe place is before a space that follows a character other than white space: tokens never span it.
-
-Cases: a null text is empty. A text that holds an added token's string is encoded whole by the library. Repeated rows
-are results as often. An empty table gives an empty result. Only the named columns are read.
+A rolling hash cuts every text into chunks wherever their content says so, so passages that texts share give equal
+chunks. Texts and chunks are named by 128-bit hashes. Chunks found more than once are encoded once; each text then joins
+their ids with those of its own stretches. A cut may fall inside a token, so every joint is repaired: a window that
+reaches a word beyond the place in doubt, on either side, is encoded anew, and stands in for the ids of both sides only
+if the re-encoded outer words are, token by token, those of the chunks' own ids; else the window widens on the side that
+disagrees, twice as far each time, until it takes in the whole chunk.
+
+Windows begin and end at safe places, before a space that follows a character other than white space: tokens never span
+it. Texts and chunks of very many rows are dealt over salts, so that no key is one task's load.
+
+Cases: a null text is empty. A text that holds an added token's string is one chunk and encoded by the library. Repeated
+rows and equal texts are chunked and encoded once, and are results as often. An empty table gives an empty result. Only
+the named columns are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagflow.llm.common import slices, written
-from tagflow.llm.tokens import ColumnBPE, added_tokens, column_bpe, decoder
+from tagflow.llm.tokens import ColumnBPE, added_tokens, column_bpe, decoder, token_sizes
 
 #: Rolling window, least chunk and the hash bits that must be zero at a cut (chunks of about 2**CUT_BITS bytes more).
 ROLL, LEAST_CHUNK, CUT_BITS = 32, 128, 9
 #: Bytes of text that a task joins at a time; a longer text is by itself.
 OPENED_BYTES = 6 << 20
-SAFE = re.compile(r"(?<=\S) ")
+#: Rows of one text or chunk that meet in a task, at least; a ten-thousandth of all rows, if that is more.
+HOT_ROWS, MOST_HOT = 1024, 10_000
+
+# White space, as bytes of ASCII and as the UTF-8 of the characters beyond.
+WHITE_BYTES = b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
+WHITE_PAIRS = (b"\xc2\x85", b"\xc2\xa0")
+WHITE_TRIPLES = (b"\xe1\x9a\x80", *(b"\xe2\x80" + bytes([c]) for c in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
 
 def cut_places(raw: np.ndarray) -> np.ndarray:
@@ -82,36 +90,51 @@ def added_strings(path: str) -> list[bytes]:
     return [s.encode() for s in added_tokens(path)]
 
 
+def safe_places(raw: np.ndarray) -> np.ndarray:
+    """Places of spaces behind a character that is not white space."""
+    at = np.flatnonzero(raw == 32)
+    at = at[at > 0]
+    at = at[~np.isin(raw[at - 1], np.frombuffer(WHITE_BYTES, np.uint8))]
+    beyond = np.flatnonzero(raw[at - 1] >= 0x80)
+    if len(beyond):
+        end = at[beyond]
+        two = raw[end - 2].astype(np.uint32) << 8 | raw[end - 1]
+        three = raw[np.maximum(end - 3, 0)].astype(np.uint32) << 16 | two
+        white = np.isin(two, [int.from_bytes(w) for w in WHITE_PAIRS]) | np.isin(three, [int.from_bytes(w) for w in WHITE_TRIPLES])
+        at = np.delete(at, beyond[white])
+    return at
+
+
 def chunk_table(docs: DataFrame, path: str) -> DataFrame:
-    """rk, th and the hashes of the chunks of each row of docs (rk, th, text)."""
+    """th (the name of a text) and the hashes of its chunks, for each row of docs (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         added = added_strings(path)
         for b in slices(batches, "text"):
-            hashes, begins = [], [0]
+            hashes, begins, names = [], [0], []
             for _, text, ends in chunks_of(b, "text", added):
-                hashes += [xxhash.xxh3_64_intdigest(text[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
+                names.append(xxhash.xxh3_128_digest(text))
+                hashes += [xxhash.xxh3_128_digest(text[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
                 begins.append(len(hashes))
-            flat = pa.array(np.array(hashes, np.uint64).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("th"), lists], names=["rk", "th", "hashes"])
+            lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(hashes, pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), lists], names=["th", "hashes"])
 
-    return docs.select("rk", "th", "text").mapInArrow(run, "rk string, th long, hashes array<long>")
+    return docs.select("text").mapInArrow(run, "th binary, hashes array<binary>")
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
-    """docs (key, rk, th, text) with each text compressed, for the shuffle: a third less than its own compression leaves."""
+    """key, th and the compressed text z of docs (key, text), for the shuffle: a third less than its own compression leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for b in slices(batches, "text"):
-            z = [packer.compress(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(z, pa.binary())], names=["key", "rk", "th", "z"])
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            cols = [pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([packer.compress(t) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("key"), *cols], names=["key", "th", "z"])
 
     # Not null, so that both joins see the same rows and share one shuffle.
-    filled = (("rk", T.StringType()), ("th", T.LongType()), ("z", T.BinaryType()))
-    schema = T.StructType([docs.schema["key"], *(T.StructField(n, t, False) for n, t in filled)])
-    return docs.select("key", "rk", "th", "text").mapInArrow(run, schema)
+    schema = T.StructType([docs.schema["key"], *(T.StructField(n, T.BinaryType(), False) for n in ("th", "z"))])
+    return docs.select("key", "text").mapInArrow(run, schema)
 
 
 def opened(batches: Iterator[pa.RecordBatch], limit: int = OPENED_BYTES) -> Iterator[pa.RecordBatch]:
@@ -130,115 +153,187 @@ def opened(batches: Iterator[pa.RecordBatch], limit: int = OPENED_BYTES) -> Iter
             yield batch.slice(begin).append_column("text", pa.array(texts, pa.binary()).cast(pa.string()))
 
 
-class Joiner:
-    """Encodes many small texts at once: ask for them first, then read their ids."""
-
-    def __init__(self, bpe: ColumnBPE):
-        self.bpe, self.asked, self.place = bpe, [], {}
-
-    def ask(self, text: str) -> int:
-        if (at := self.place.get(text)) is None:
-            at = self.place[text] = len(self.asked)
-            self.asked.append(text)
-        return at
-
-    def answer(self) -> None:
-        ids, offs = self.bpe.encode(pa.array(self.asked, pa.string()))
-        self.found = [ids[a:b] for a, b in zip(offs, offs[1:], strict=False)]
-
-
-def joined(text: bytes, ends: list[int], shared: dict[int, np.ndarray], ask: Joiner) -> Iterator[tuple]:
-    """The parts of a text's ids in order: ("own", place asked) or ("chunk", ids, head asked, tail asked, middle text)."""
-    pieces, begin, own = [], 0, 0
-    for k, end in enumerate(ends):  # neighbouring chunks of its own are one stretch
-        if k in shared:
-            if own < begin:
-                pieces.append((text[own:begin].decode(), None))
-            pieces.append((text[begin:end].decode(), shared[k]))
-            own = end
-        begin = end
-    if own < begin or not pieces:
-        pieces.append((text[own:begin].decode(), None))
-    pending = ""
-    for piece, ids in pieces:
-        if ids is None:
-            pending += piece
-            continue
-        first, last = SAFE.search(piece), piece.rfind(" ")
-        while last > 0 and piece[last - 1].isspace():
-            last = piece.rfind(" ", 0, last)
-        if first is None or last <= 0:
-            pending += piece
-            continue
-        head, tail = piece[: first.start()], piece[last:]
-        yield "own", ask.ask(pending + head)
-        yield "chunk", ids, ask.ask(head), ask.ask(tail), piece[first.start() : last]
-        pending = tail
-    yield "own", ask.ask(pending)
-
-
-def resolved(part: tuple, ask: Joiner) -> np.ndarray:
-    """The ids of a part; a chunk gives those between its repaired ends if both ends agree with the re-encoded ones."""
-    if part[0] == "own":
-        return ask.found[part[1]]
-    _, ids, head, tail, middle = part
-    h, t = ask.found[head], ask.found[tail]
-    if len(h) + len(t) <= len(ids) and (ids[: len(h)] == h).all() and (ids[len(ids) - len(t) :] == t).all():
-        return ids[len(h) : len(ids) - len(t)]
-    # The window widens over the whole chunk: what lies between its safe places is encoded anew.
-    return ask.bpe.encode(pa.array([middle]))[0]
-
+class Chunk:
+    """A shared chunk in a text: raw[x:y], its ids, where its tokens end, and its safe places.
 
-def assembled(batches: Iterator[pa.RecordBatch], path: str, decode: bool) -> Iterator[pa.RecordBatch]:
-    """key, ids and, to ``decode``, the text these decode to for rows of (key, z, parts: array of (seq, ids))."""
-    bpe, added = column_bpe(path), added_strings(path)
-    for b in opened(batches):
-        ask, rows = Joiner(bpe), []
-        parts = b.column("parts").to_pylist()
-        for i, text, ends in chunks_of(b, "text", added):
-            shared = {p["seq"]: np.frombuffer(p["ids"], "<u2" if bpe.size <= 1 << 16 else "<u4").astype(np.uint32) for p in parts[i] or ()}
-            rows.append(list(joined(text, ends, shared, ask)))
-        ask.answer()
-        ids = pa.array([np.concatenate([resolved(p, ask) for p in row]).astype("<u4").tobytes() for row in rows], pa.binary())
-        texts = [pa.array(decoded(ids, path), pa.string())] if decode else []
-        yield pa.RecordBatch.from_arrays([b.column("key"), ids, *texts], names=["key", "ids", "text"][: 2 + decode])
+    Of its ids, those between its places ``p`` and, counted from the end, ``q`` are taken; what lies before and behind
+    is in the windows of its joints. -1: no window reaches into that side, as the text begins or ends there.
+    """
 
+    __slots__ = ("ends", "ids", "p", "places", "q", "x", "y")
+
+    def __init__(self, x: int, y: int, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, first: bool, last: bool):
+        self.x, self.y, self.ids, self.places = x, y, ids, places
+        self.ends = np.concatenate([[0], np.cumsum(sizes[ids])]) + x
+        self.p, self.q = -1 if first else 1, -1 if last else 1
+
+    def usable(self) -> bool:
+        return self.ends[-1] == self.y and max(self.p, 0) + max(self.q, 0) < max(1, len(self.places))
+
+    def begin(self) -> int:
+        return self.x if self.p < 0 else int(self.places[self.p])
+
+    def end(self) -> int:
+        return self.y if self.q < 0 else int(self.places[len(self.places) - 1 - self.q])
+
+    def between(self, begin: int, end: int) -> np.ndarray | None:
+        """The ids of raw[begin:end]; None if tokens do not end at both."""
+        i, j = np.searchsorted(self.ends, (begin, end))
+        return self.ids[i:j] if self.ends[i] == begin and self.ends[j] == end else None
+
+
+def agree(window: np.ndarray, sizes: np.ndarray, own: np.ndarray | None, bytes_: int, at_end: bool) -> bool:
+    """Whether the window's first (or last) ``bytes_`` bytes have the ids ``own``."""
+    if own is None or len(own) > len(window):
+        return False
+    part = window[len(window) - len(own) :] if at_end else window[: len(own)]
+    return bool((part == own).all()) and int(sizes[part].sum()) == bytes_
+
+
+class Text:
+    """raw[begin:end], its shared chunks in order, and the repaired windows between them by their places."""
+
+    def __init__(self, begin: int, end: int, chunks: list[Chunk]):
+        self.begin, self.end, self.windows = begin, end, {}
+        self.chunks = [c for c in chunks if c.usable()]
+
+    def joints(self) -> list[tuple[Chunk | None, Chunk | None, int, int]]:
+        sides = [None, *self.chunks, None]
+        return [(a, b, a.end() if a else self.begin, b.begin() if b else self.end) for a, b in zip(sides, sides[1:], strict=False)]
+
+    def open(self) -> list[tuple[int, int]]:
+        """Windows still to be encoded."""
+        return [(x, y) for _, _, x, y in self.joints() if x < y and (x, y) not in self.windows]
+
+    def repair(self, found: dict[tuple[int, int], np.ndarray], sizes: np.ndarray) -> None:
+        """Keeps the windows that agree with both sides; widens the others."""
+        for a, b, x, y in self.joints():
+            if (x, y) not in found:
+                continue
+            ids, fine = found[x, y], True
+            if a and a.q >= 0:
+                margin = int(a.places[len(a.places) - a.q])
+                if not agree(ids, sizes, a.between(x, margin), margin - x, False):
+                    a.q, fine = 2 * a.q, False
+            if b and b.p >= 0:
+                margin = int(b.places[b.p - 1])
+                if not agree(ids, sizes, b.between(margin, y), y - margin, True):
+                    b.p, fine = 2 * b.p, False
+            if fine:
+                self.windows[x, y] = ids
+        self.chunks = [c for c in self.chunks if c.usable()]
+
+    def ids(self) -> np.ndarray:
+        out = []
+        for _, b, x, y in self.joints():
+            if x < y:
+                out.append(self.windows[x, y])
+            if b:
+                out.append(b.between(b.begin(), b.end()))
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+
+def joined(data: bytes, texts: list[Text], bpe: ColumnBPE, sizes: np.ndarray) -> list[np.ndarray]:
+    """The ids of each text, all joints repaired; windows are encoded together, equal ones once."""
+    left = texts
+    while left:
+        asked = [(t, w) for t in left for w in t.open()]
+        bodies = {data[x:y]: None for _, (x, y) in asked}
+        ids, offs = bpe.encode(pa.array(list(bodies), pa.binary()).cast(pa.string()))
+        for k, body in enumerate(bodies):
+            bodies[body] = ids[offs[k] : offs[k + 1]]
+        for t in left:
+            t.repair({w: bodies[data[w[0] : w[1]]] for w in t.open()}, sizes)
+        left = [t for t in left if t.open()]
+    # A chunk whose tokens don't end at its safe places has been widened away by now.
+    return [t.ids() for t in texts]
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
-    """key and ids (little-endian unsigned 32-bit integers) of each row of ``docs``, and with ``decode`` the decoded text.
 
-    Texts are shuffled once, compressed, by key; of chunks only hashes are counted, and ids travel for shared chunks alone.
-    """
-    docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # A row is named by its key and its text's hash; rk is the key, or that there is none.
-    rk = F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit("-"))
-    docs = docs.select("key", rk.alias("rk"), F.xxhash64("text").alias("th"), "text")
-    table = written(chunk_table(docs, path))
-    each = table.select("rk", "th", F.posexplode("hashes").alias("seq", "hash"))
-    shared = each.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("rk", "th", "seq")).alias("o")).where("n > 1")
-    shared = written(shared.select("hash", F.col("o.rk").alias("rk"), F.col("o.th").alias("th"), F.col("o.seq").alias("seq")))
-    owners = shared.groupBy("rk", "th").agg(F.collect_list(F.struct("seq", "hash")).alias("wanted"))
-    kind = dict(docs.dtypes)["key"]
+def assembled(batches: Iterator[pa.RecordBatch], path: str, decode: bool) -> Iterator[pa.RecordBatch]:
+    """key, ids and, to ``decode``, the text these decode to for rows of (key, th, z, parts: array of (seq, ids))."""
+    bpe, added, sizes = column_bpe(path), added_strings(path), token_sizes(path)
+    width = "<u2" if bpe.size <= 1 << 16 else "<u4"
+    for b in opened(batches):
+        seen: dict[bytes, int] = {}
+        of = [seen.setdefault(th, len(seen)) for th in b.column("th").to_pylist()]
+        once = b if len(seen) == len(of) else b.take(pa.array(np.unique(of, return_index=True)[1]))
+        raw, offs = texts_of(once, "text")
+        data, safe, parts, texts = raw.tobytes(), safe_places(raw), once.column("parts").to_pylist(), []
+        for i, text, ends in chunks_of(once, "text", added):
+            begin, chunks = int(offs[i]), []
+            for part in sorted(parts[i] or (), key=lambda p: p["seq"]):
+                k = part["seq"]
+                if chunks and chunks[-1].y > begin + (ends[k - 1] if k else 0):
+                    continue  # the same chunk twice
+                x, y = begin + (ends[k - 1] if k else 0), begin + ends[k]
+                lo, hi = np.searchsorted(safe, (x + 1, y))
+                chunks.append(Chunk(x, y, np.frombuffer(part["ids"], width).astype(np.uint32), sizes, safe[lo:hi], k == 0, y == begin + len(text)))
+            texts.append(Text(begin, begin + len(text), chunks))
+        found = [ids.astype("<u4").tobytes() for ids in joined(data, texts, bpe, sizes)]
+        ids = pa.array(found, pa.binary()).take(pa.array(of, pa.int64()))
+        back = [pa.array(decoded(pa.array(found, pa.binary()), path), pa.string()).take(pa.array(of, pa.int64()))] if decode else []
+        yield pa.RecordBatch.from_arrays([b.column("key"), ids, *back], names=["key", "ids", "text"][: 2 + decode])
+
+
+def salts_of(counted: DataFrame, name: str, total: int) -> DataFrame:
+    """name and salts of the few values that have too many rows for one task: MOST_HOT rows at most, so they are broadcast."""
+    limit = max(HOT_ROWS, total // MOST_HOT)
+    return F.broadcast(counted.where(F.col("n") > limit).select(name, F.ceil(F.col("n") / limit).cast("int").alias("salts")))
+
+
+def salted(df: DataFrame, hot: DataFrame, name: str, place: Column) -> DataFrame:
+    """``df`` with the salt that each row of a hot value is dealt to."""
+    return df.join(hot, name, "left").withColumn("salt", F.coalesce(F.pmod(place, F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+
+
+def for_salts(df: DataFrame, hot: DataFrame, name: str) -> DataFrame:
+    """``df``, a row for each salt of its value."""
+    return df.join(hot, name, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
+
+def encoded_chunks(first: DataFrame, path: str) -> DataFrame:
+    """hash and ids of the chunks that rows of (th, z, wanted: array of (seq, hash)) own, each encoded once."""
 
-    def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, added = column_bpe(path), added_strings(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, added, last = column_bpe(path), added_strings(path), None
         for b in opened(batches):
-            wanted, texts, hashes = b.column("wanted").to_pylist(), [], []
+            names, wanted, texts, hashes = b.column("th").to_pylist(), b.column("wanted").to_pylist(), [], []
             for i, text, ends in chunks_of(b, "text", added):
-                begins = [0, *ends]
+                if names[i] == last:
+                    continue  # equal texts lie next to one another
+                last, begins = names[i], [0, *ends]
                 for w in wanted[i]:
                     texts.append(text[begins[w["seq"]] : ends[w["seq"]]].decode())
                     hashes.append(w["hash"])
             ids, offs = bpe.encode(pa.array(texts, pa.string()))
             ids = ids.astype("<u2" if bpe.size <= 1 << 16 else "<u4")
             raw = [ids[x:y].tobytes() for x, y in zip(offs, offs[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(raw, pa.binary())], names=["hash", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(raw, pa.binary())], names=["hash", "ids"])
+
+    return first.select("th", "z", "wanted").mapInArrow(run, "hash binary, ids binary")
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
+    """key and ids (little-endian unsigned 32-bit integers) of each row of ``docs``, and with ``decode`` the decoded text.
+
+    Texts are shuffled once, compressed; of chunks only hashes are counted, and ids travel for shared chunks alone.
+    """
+    docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    table = written(chunk_table(docs, path).groupBy("th").agg(F.count("*").alias("n"), F.first("hashes").alias("hashes")))
+    rows, chunks = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()
+    each = table.select("th", F.posexplode("hashes").alias("seq", "hash"))
+    shared = each.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("th", "seq")).alias("o")).where("n > 1")
+    shared = written(shared.select("hash", "n", F.col("o.th").alias("th"), F.col("o.seq").alias("seq")))
+    owners = shared.groupBy("th").agg(F.collect_list(F.struct("seq", "hash")).alias("wanted")).withColumn("salt", F.lit(0))
+    hot_texts, hot_chunks = salts_of(table, "th", rows), salts_of(shared, "hash", chunks)
+    kind = dict(docs.dtypes)["key"]
 
-    docs = squeezed(docs)
-    first = docs.join(owners, ["rk", "th"]).select("key", "z", "wanted")  # the key too: the same columns share a shuffle
-    chunk_ids = first.mapInArrow(encode_chunks, "hash long, ids binary").dropDuplicates(["hash"])
-    parts = each.join(chunk_ids, "hash").groupBy("rk", "th").agg(F.collect_list(F.struct("seq", "ids")).alias("parts"))
-    whole = docs.join(parts, ["rk", "th"], "left").select("key", "z", "parts")
+    docs = salted(squeezed(docs), hot_texts, "th", F.monotonically_increasing_id())
+    first = docs.join(owners, ["th", "salt"]).select("key", "th", "z", "wanted")  # the key too: the same columns share a shuffle
+    chunk_ids = for_salts(encoded_chunks(first, path), hot_chunks, "hash")
+    meet = salted(each, hot_chunks, "hash", F.xxhash64("th", "seq")).join(chunk_ids, ["hash", "salt"])
+    parts = for_salts(meet.groupBy("th").agg(F.collect_list(F.struct("seq", "ids")).alias("parts")), hot_texts, "th")
+    whole = docs.join(parts, ["th", "salt"], "left").select("key", "th", "z", "parts")
     return whole.mapInArrow(lambda it: assembled(it, path, decode), f"key {kind}, ids binary" + ", text string" * decode).withColumnRenamed("key", key)
 
 

@@ -212,6 +212,12 @@ def decoder(path: str) -> pa.Array:
     return pa.array(rows, pa.large_binary())
 
 
+@cache
+def token_sizes(path: str) -> np.ndarray:
+    """The number of bytes of each id of a byte-level file."""
+    return np.asarray(pc.binary_length(decoder(path)), np.int64)
+
+
 @cache
 def column_bpe(path: str) -> ColumnBPE:
     """One per worker process."""
