@@ -23,19 +23,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagflow.llm.common import slices, written
+from tagflow.llm.common import for_salts, salted, salts_of, slices, written
 from tagflow.llm.tokens import ColumnBPE, added_tokens, column_bpe, decoder, token_sizes
 
 #: Rolling window, least chunk and the hash bits that must be zero at a cut (chunks of about 2**CUT_BITS bytes more).
 ROLL, LEAST_CHUNK, CUT_BITS = 32, 128, 9
 #: Bytes of text that a task joins at a time; a longer text is by itself.
 OPENED_BYTES = 6 << 20
-#: Rows of one text or chunk that meet in a task, at least; a ten-thousandth of all rows, if that is more.
-HOT_ROWS, MOST_HOT = 1024, 10_000
 
 # White space, as bytes of ASCII and as the UTF-8 of the characters beyond.
 WHITE_BYTES = b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
@@ -275,22 +273,6 @@ def assembled(batches: Iterator[pa.RecordBatch], path: str, decode: bool) -> Ite
         yield pa.RecordBatch.from_arrays([b.column("key"), ids, *back], names=["key", "ids", "text"][: 2 + decode])
 
 
-def salts_of(counted: DataFrame, name: str, total: int) -> DataFrame:
-    """name and salts of the few values that have too many rows for one task: MOST_HOT rows at most, so they are broadcast."""
-    limit = max(HOT_ROWS, total // MOST_HOT)
-    return F.broadcast(counted.where(F.col("n") > limit).select(name, F.ceil(F.col("n") / limit).cast("int").alias("salts")))
-
-
-def salted(df: DataFrame, hot: DataFrame, name: str, place: Column) -> DataFrame:
-    """``df`` with the salt that each row of a hot value is dealt to."""
-    return df.join(hot, name, "left").withColumn("salt", F.coalesce(F.pmod(place, F.col("salts")).cast("int"), F.lit(0))).drop("salts")
-
-
-def for_salts(df: DataFrame, hot: DataFrame, name: str) -> DataFrame:
-    """``df``, a row for each salt of its value."""
-    return df.join(hot, name, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-
-
 def encoded_chunks(first: DataFrame, path: str) -> DataFrame:
     """hash and ids of the chunks that rows of (th, z, wanted: array of (seq, hash)) own, each encoded once."""
 

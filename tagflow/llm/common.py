@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at a time; a longer text is a slice of its own.
@@ -44,11 +44,41 @@ BROADCAST_BYTES = 8 << 20
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` written, and marked for a broadcast if its values have ``limit`` bytes at most; else it joins by a shuffle."""
     out = written(df)
-    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in out.dtypes if kind == "string"]
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in out.dtypes if kind in ("string", "binary")]
     size = out.agg(F.coalesce(F.sum(sum(sizes, F.lit(16 * len(out.columns)))), F.lit(0))).first()[0]
     return F.broadcast(out) if size <= limit else out
 
 
+#: Rows of one key that meet in a task, at least; a ten-thousandth of all rows, if that is more.
+HOT_ROWS, MOST_HOT = 1024, 10_000
+
+
+def salts_of(counted: DataFrame, name: str, total: int) -> DataFrame:
+    """name and salts of the few values that have too many rows for one task: MOST_HOT rows at most, so they are broadcast."""
+    limit = max(HOT_ROWS, total // MOST_HOT)
+    return F.broadcast(counted.where(F.col("n") > limit).select(name, F.ceil(F.col("n") / limit).cast("int").alias("salts")))
+
+
+def salted(df: DataFrame, hot: DataFrame, name: str, place: Column) -> DataFrame:
+    """``df`` with the salt that each row of a hot value is dealt to."""
+    return df.join(hot, name, "left").withColumn("salt", F.coalesce(F.pmod(place, F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+
+
+def for_salts(df: DataFrame, hot: DataFrame, name: str) -> DataFrame:
+    """``df``, a row for each salt of its value."""
+    return df.join(hot, name, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, counted: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key; rows of hot keys are dealt over salts.
+
+    ``counted``: key and n, the rows of ``left`` that have it; ``total``: all rows of ``left``.
+    """
+    hot = salts_of(counted, key, total)
+    spread = salted(left, hot, key, F.xxhash64(*left.columns))
+    return spread.join(for_salts(right, hot, key), [key, "salt"], how).drop("salt")
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that their texts have about ``limit`` bytes; nulls in ``text`` become empty."""
     for batch in batches:

@@ -9,7 +9,7 @@ import pytest
 from conftest import prose
 from test_tokens import BYTE, ids_of, library, raw
 
-from tagflow.llm import bpe_chunks
+from tagflow.llm import bpe_chunks, common
 from tagflow.llm.tokens import column_bpe, token_sizes
 
 
@@ -26,7 +26,7 @@ def test_repeated_rows_take_linear_time(spark):
 
 
 def test_hot_texts_and_chunks_are_dealt_over_salts(spark, monkeypatch, docs, rows):
-    monkeypatch.setattr(bpe_chunks, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
     got = Counter((r["doc_id"], bytes(r["ids"])) for r in bpe_chunks.encode(docs, BYTE).collect())
     assert got == Counter((r[0], raw(ids_of(BYTE, r[1]))) for r in rows)
 

@@ -63,9 +63,9 @@ def test_the_stage_links_five_word_shingles_at_four_fifths(spark, texts):
 
 @pytest.mark.parametrize("block", [4, 1024])
 def test_large_groups(spark, monkeypatch, block):
-    """Also where bands are dealt to pairs of blocks, and where the sketches' forest stands for the pairs."""
+    """Also where bands are dealt to pairs of blocks, and where few partners of a node are compared before all others."""
     monkeypatch.setattr("tagflow.llm.simhash.BLOCK", block)
-    monkeypatch.setattr(near_texts, "SMALL", 4)
+    monkeypatch.setattr(near_texts, "NEAREST", 1)
     rng = random.Random(9)
     t = prose(rng, 200).split()
     texts = []
@@ -85,8 +85,31 @@ def test_sketches_bound_the_difference():
     for n in (1, 5, 50, 500, 5000):
         x = rng.integers(0, 1 << 64, n, np.uint64)
         y = np.concatenate([x[n // 5 :], rng.integers(0, 1 << 64, n // 7, np.uint64)])
-        s, t = (np.frombuffer(near_texts.signature(np.unique(v), a, a)[0], np.uint8) for v in (x, y))
-        assert np.bitwise_count(s ^ t).sum() <= len(np.setxor1d(x, y))
+        s, t = (near_texts.signature(np.unique(v), a, a)[0] for v in (x, y))
+        w = min(len(s), len(t))
+        apart = np.bitwise_count(near_texts.folded([s], w) ^ near_texts.folded([t], w)).sum()
+        assert len(np.setxor1d(x, y)) / 2 < apart + 1 and apart <= len(np.setxor1d(x, y))
+
+
+def test_a_chain_that_no_pivot_joins(spark):
+    """Each text is like its neighbours only; families that are just too far apart stay apart."""
+    rng = random.Random(15)
+    words, texts = prose(rng, 150).split(), []
+    for k in range(40):
+        words = list(words)
+        words[rng.randrange(len(words))] = f"step{k}"
+        texts.append(" ".join(words))
+    other = prose(rng, 150).split()
+    for far in (3, 5, 6, 7, 8, 9):
+        for _ in range(6):
+            w = list(other)
+            for p in rng.sample(range(len(w)), far):
+                w[p] = f"far{far}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component"] for r in near_texts.near_duplicates(df).collect()}
+    assert got == dict(enumerate(least_ids(texts)))
 
 
 def test_an_id_of_two_texts_keeps_both(spark):
