@@ -5,7 +5,8 @@ texts are one node from the start. Nodes that share a band of four minimum hashe
 similar as ``least`` shares none with a probability of (1 - least^4)^BANDS, 2.7e-5 at 0.8. Each node has a sketch, the
 parities of its shingles' hashes in at least twice as many cells as shingles. Sketches never differ in more cells than
 the sets in shingles, so a pair that they rule out is no link; every other pair is compared by its texts before it
-counts.
+counts. What pigeonring filtering of SimHash fingerprints links is compared too; by itself it misses most of these
+links, which differ in 5 to 13 bits.
 
 Not all pairs of a bucket need to be compared. First every node meets the least node of each of its buckets. Nodes that
 are then connected need no more comparisons with one another; of the others, each node meets the NEAREST of other
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tagflow.llm.common import broadcast_if_small, spread_join, unused, written
 from tagflow.llm.components import components
-from tagflow.llm.simhash import LOWER, cells
+from tagflow.llm.simhash import LOWER, by_cells, cells, links, majority
 
 WORDS, LEAST, SEED = 5, 0.8, 42
 BANDS, ROWS = 20, 4
@@ -78,25 +79,26 @@ def folded(sketches: list[bytes], width: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """key, name, size (distinct shingles), sketch and bands of each row; nothing of a text without words."""
+    """key, name, size (distinct shingles), SimHash, sketch and bands of each row; nothing of a text without words."""
     rng = np.random.default_rng(SEED)
     a = rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
     b = rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, sketches, bands = [], [], []
+            sizes, fps, sketches, bands = [], [], [], []
             for t in batch.column(2).to_pylist():
                 found = shingles(t, words)
                 hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found)))
                 sketch, band = signature(hashes, a, b) if found else (None, None)
                 sizes.append(len(hashes))
+                fps.append(majority(hashes))
                 sketches.append(sketch)
                 bands.append(band)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["key", "name", "size", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["key", "name", "size", "fp", "sketch", "bands"])
 
     named = docs.select(F.col(key).alias("key"), name_of(F.col(text)).alias("name"), F.col(text).alias("text"))
-    return named.mapInArrow(run, f"key {dict(named.dtypes)['key']}, name binary, size int, sketch binary, bands array<long>")
+    return named.mapInArrow(run, f"key {dict(named.dtypes)['key']}, name binary, size int, fp long, sketch binary, bands array<long>")
 
 
 def plausible(apart: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -142,9 +144,19 @@ def bucketed(nodes: DataFrame) -> DataFrame:
     return written(banded.join(shared, ["seg", "val"]))
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: nodes of one fingerprint with the least of them, and those that pigeonring filtering links."""
+    least = written(nodes.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    equal = spread_join(nodes.select("fp", F.col("id").alias("b")), least.select("fp", F.col("id").alias("a")), "fp", least, nodes.count()).select("a", "b").where("a <> b")
+    side = lambda c: least.select(F.col("fp").alias(f"fp_{c}"), F.col("id").alias(c))
+    linked = links(least).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(side("a"), "fp_a").join(side("b"), "fp_b")
+    return equal.unionByName(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def pivot_pairs(shared: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """a, b: pivots and the nodes of their buckets that their sketches leave."""
-    pairs = written(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    """a, b: pivots and the nodes of their buckets, and what SimHash links, that their sketches leave."""
+    pivots = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    pairs = written(pivots.unionByName(simhash_pairs(nodes)).distinct())
     of = lambda c: nodes.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     both = spread_join(pairs.join(of("b"), "b"), of("a"), "a", pairs.groupBy("a").agg(F.count("*").alias("n")), pairs.count())
     near = both.where(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-6)
@@ -167,28 +179,13 @@ def bucket_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, least: f
     named = written(named)
     mixed = named.groupBy("seg", "val").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("seg", "val")
     left = written(named.join(mixed, ["seg", "val"]).withColumnRenamed("id", "fp"))
-    order = ["seg", "val", "lo", "hi"]
     of = nodes.select(F.col("id").alias("fp"), "size", "sketch").join(left.select("fp", "root").distinct(), "fp")
-    dealt = cells(left.drop("root")).join(of, "fp").repartition(*order).sortWithinPartitions(*order)
+    dealt = cells(left.drop("root"), left.groupBy("seg", "val").agg(F.count("*").alias("n"))).join(of, "fp")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            cols = [t[c].to_numpy() for c in order]
-            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-            cut = int(change[-1]) if len(change) else 0
-            yield from emit(t.slice(0, cut), change[:-1])
-            held = t.slice(cut)
-        if held is not None:
-            yield from emit(held, np.zeros(0, np.int64))
-
-    def emit(t: pa.Table, change: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if t.num_rows == 0:
-            return
+    def emit(t: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, sizes, roots, side, los, his = (t[c].to_numpy() for c in ("fp", "size", "root", "side", "lo", "hi"))
         sizes, sketches, found = sizes.astype(np.int64), t["sketch"].to_pylist(), []
-        for x, y in zip([0, *change.tolist()], [*change.tolist(), t.num_rows], strict=True):
+        for x, y in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
             if y - x > 1:
                 found.append(x + likely(sizes[x:y], sketches[x:y], roots[x:y], None if los[x] == his[x] else side[x:y], least, nearest))
         if found:
@@ -199,7 +196,7 @@ def bucket_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, least: f
             p, q = p[once], q[once]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[p], ids[q], roots[p], roots[q])], names=["a", "b", "ra", "rb"])
 
-    return dealt.mapInArrow(run, "a long, b long, ra long, rb long").distinct()
+    return by_cells(dealt, emit, "a long, b long, ra long, rb long").distinct()
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str, words: int, least: float) -> DataFrame:
@@ -242,7 +239,7 @@ def connected(docs: DataFrame, nodes: DataFrame, text: str, words: int, least: f
 def grouped(docs: DataFrame, key: str, text: str, words: int, least: float) -> tuple[DataFrame, DataFrame]:
     """key and name of each row, and name, root (the same for the nodes of a component) and first (a node's least key)."""
     marked = written(signed(docs, key, text, words))
-    once = marked.groupBy("name").agg(F.min("key").alias("first"), *(F.first(c).alias(c) for c in ("size", "sketch", "bands")))
+    once = marked.groupBy("name").agg(F.min("key").alias("first"), *(F.first(c).alias(c) for c in ("size", "fp", "sketch", "bands")))
     nodes = written(once.withColumn("id", F.monotonically_increasing_id()))
     roots = connected(docs, nodes.where("size > 0"), text, words, least)
     of = nodes.select("id", "name", "first").join(roots.withColumnRenamed("node", "id"), "id", "left")

@@ -126,7 +126,6 @@ def test_near_duplicates(docs, rows):
 
 def test_near_duplicates_of_nothing(nothing):
     assert simhash.near_duplicates(nothing).count() == 0
-    assert simhash.deduplicated(nothing).count() == 0
 
 
 def test_op7_query(spark, sf_dir):
@@ -166,12 +165,28 @@ def test_links_connect_all_near_fingerprints(spark, monkeypatch, block):
                 assert find(int(np.uint64(x).view(np.int64))) == find(int(np.uint64(y).view(np.int64))), (int(x) & mask, int(y) & mask)
 
 
-def test_deduplicated_keeps_one_row_of_each_group(docs, rows):
-    named = [r for r in rows if r[0] is not None]
-    expected = {c for _, _, c in grouped(named)}
-    got = simhash.deduplicated(docs)
-    assert set(got.columns) == set(docs.columns)
-    assert Counter(r["doc_id"] for r in got.collect()) == Counter([*expected, *(r[0] for r in rows if r[0] is None)])
+def test_dealing_meets_every_pair_within_the_budget():
+    """Each pair of at most four bits shares a bucket in which one of the two is by its own bits."""
+    rng = random.Random(6)
+    for _ in range(300):
+        x = rng.getrandbits(64)
+        y = x
+        for b in rng.sample(range(64), rng.randint(1, 4)):
+            y ^= 1 << b
+        seg, val, cleared, at = simhash.dealt_rows(np.array([x, y], np.uint64))
+        of = [{(s, v): c for s, v, c, k in zip(seg.tolist(), val.tolist(), cleared.tolist(), at.tolist(), strict=True) if k == i} for i in (0, 1)]
+        met = [s for (s, v), c in of[0].items() if (s, v) in of[1] and not (c and of[1][s, v])]
+        assert any(len(simhash.chained(np.array([s]), np.array([x ^ y], np.uint64))) for s in met)
+        far = y ^ sum(1 << b for b in rng.sample(range(64), 8))
+        assert (int(x ^ far).bit_count() <= 4) == any(len(simhash.chained(np.array([s]), np.array([x ^ far], np.uint64))) for s in range(5))
+
+
+def test_pairs_within_cells():
+    begins, ends = np.array([0, 3, 4, 4]), np.array([3, 4, 4, 9])
+    want = [(i, j) for a, b in zip(begins, ends, strict=True) for i in range(a, b) for j in range(i + 1, b)]
+    for most in (1, 3, 100):
+        got = [(int(i), int(j)) for x, y in simhash.within_cells(begins, ends, most) for i, j in zip(x, y, strict=True)]
+        assert got == want
 
 
 def test_components_of_a_long_chain(spark):

@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import pytest
-from test_groups import grouped
+from test_near_texts import least_ids
 from test_quality import verdicts
 from test_tokens import check_packing
 
@@ -33,8 +33,8 @@ def test_stages(spark, sf_dir, kept):
     assert ids(kept[0]) == ids(knn_quality.classify(docs, model).where("predicted = 1"))
     rows = [tuple(r) for r in kept[0].select("doc_id", "text", "lang", "source", "n_chars").collect()]
     assert ids(kept[1]) == sorted(v[0] for v in verdicts(rows) if v[-1])
-    rows = [tuple(r) for r in kept[1].select("doc_id", "text").collect()]
-    assert ids(kept[2]) == sorted({c for _, _, c in grouped(rows)})
+    rows = sorted(tuple(r) for r in kept[1].select("doc_id", "text").collect())
+    assert ids(kept[2]) == sorted({rows[k][0] for k in least_ids([t for _, t in rows])})  # five words, 0.8, all pairs
     check_packing(kept[3].collect(), [tuple(r) for r in kept[2].select("doc_id", "text").collect()])
 
 
