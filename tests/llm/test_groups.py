@@ -233,8 +233,34 @@ def test_fewer_candidates_than_asked_and_nothing(spark):
     assert rabitq.nearest(few.where("vec_id > 9"), F.col("vec_id") == 0, 20).count() == 0
 
 
-def test_op9_recall(spark):
-    sf = "/root/testdata/sf0.01"
+def test_rows_of_one_query_id_are_one_query(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(1, 40)] + [(0, [1.0] + [0.0] * 7), (0, [0.5] + [0.0] * 7), (0, [0.5] + [0.0] * 7)]
+    got = [tuple(r) for r in rabitq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 20).orderBy("rank").collect()]
+    want = sorted((-0.5 * v[0], i) for i, v in rows if i)[:20]
+    assert [r[:3] for r in got] == [(0, k + 1, i) for k, (_, i) in enumerate(want)]
+
+
+@pytest.mark.parametrize("dim", [5, 64, 100, 200])
+def test_estimates_count_bits(dim):
+    """The packed estimate is that of the rounded query with the signs; its bound holds but for a few."""
+    rng = np.random.default_rng(dim)
+    v, q, turn = rng.standard_normal((2000, dim)), rng.standard_normal((20, dim)), rabitq.rotation(dim)
+    bits, norms, fit = rabitq.encode(v, turn)
+    units = q / np.linalg.norm(q, axis=1)[:, None]
+    asked = rabitq.Query(units, turn)
+    got = asked.estimates(bits, np.bitwise_count(bits).sum(axis=1), slice(0, 20))
+    turned = units @ turn.T
+    rounded = asked.low[:, None] + asked.step[:, None] * np.rint((turned - asked.low[:, None]) / asked.step[:, None])
+    signs = np.where((v / norms[:, None]) @ turn.T > 0, 1, -1)
+    assert np.allclose(got, rounded @ signs.T)
+    true = units @ (v / norms[:, None]).T
+    error = rabitq.WIDTH / fit * np.sqrt(np.maximum(0, 1 - fit**2) / (dim - 1) + asked.off[:, None] ** 2 / dim)
+    assert (np.abs(got / np.sqrt(dim) / fit - true) <= error).mean() > 0.97
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_op9_recall(spark, sf):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     m = np.array([v for _, v in rows], float)
     ids = np.array([i for i, _ in rows])
