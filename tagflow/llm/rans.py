@@ -1,11 +1,12 @@
 """Token ids in a binary format: static range asymmetric numeral systems over interleaved lanes.
 
 One frequency table, counted over all ids, is shared by all blocks. A block holds the ids of some documents in order,
-dealt over interleaved lanes with 64-bit states; it can be decoded on its own, or from any of its checkpoints (lane
-states and place in the words), and carries checksums of its payload and of its ids.
+dealt over interleaved lanes with 64-bit states. Its checkpoints (lane states, place in the words, checksum of the ids
+up to the next one) part it: each part is decoded and checked on its own. A block carries a checksum of its payload too.
 
 A written corpus is a folder with ``blocks`` (a row a block: place of its first id, document table, payload) and
-``table`` (id, frequency). Spark writes and reads both, so any file system it knows will do.
+``table`` (id, frequency). Spark writes and reads both, so any file system it knows will do. Blocks are read in one go;
+the parts of a block that a long document has for itself are dealt to tasks of their own.
 
 Cases: a null text is empty and gets the end id alone. Documents are in ascending order of their id, nulls first;
 repeated ids follow one another, ordered by the text's hash. A very long document is a block of its own. An empty table gives
@@ -30,7 +31,9 @@ from tagflow.llm.tokens import column_bpe
 MAGIC = b"TFR1"
 SCALE_BITS = 20
 LOW = 1 << 31
-HEAD = struct.Struct("<4sIIIIII")  # magic, ids, lanes, checkpoint rows, words, crc of ids, crc of the rest
+HEAD = struct.Struct("<4sIIIII")  # magic, ids, lanes, checkpoint rows, words, crc of the rest
+MARK = struct.Struct("<II")  # crc of the ids up to the next checkpoint, place in the words; then the lanes' states
+PART = struct.Struct("<III")  # ids, lanes, their crc; then the lanes' states and words
 
 #: Ids of a block, most lanes, and rows between checkpoints.
 BLOCK_IDS, LANES, CHECKPOINT_ROWS = 1 << 20, 4096, 128
@@ -79,42 +82,59 @@ class Coder:
             q, r = np.divmod(x, f)
             x[:] = (q << bits) + r + begin[span]
             if row % every == 0:
-                marks.append((row, emitted, states.copy()))
-        tail = b"".join(struct.pack("<II", row, emitted - done) + s.astype("<u8").tobytes() for row, done, s in reversed(marks))
+                crc = zlib.crc32(ids[row * lanes : (row + every) * lanes].astype("<u4").tobytes())
+                marks.append((crc, emitted, states.copy()))
+        tail = b"".join(MARK.pack(crc, emitted - done) + s.astype("<u8").tobytes() for crc, done, s in reversed(marks))
         tail += b"".join(w.astype("<u4").tobytes() for w in reversed(words))
-        crc = zlib.crc32(ids.astype("<u4").tobytes())
-        return HEAD.pack(MAGIC, len(ids), lanes, every, emitted, crc, zlib.crc32(tail)) + tail
+        return HEAD.pack(MAGIC, len(ids), lanes, every, emitted, zlib.crc32(tail)) + tail
 
-    def decode(self, block: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
-        """The ids from checkpoint ``first`` up to checkpoint ``last`` (the end by default)."""
-        magic, n, lanes, every, n_words, crc, tail_crc = HEAD.unpack_from(block)
-        if magic != MAGIC or zlib.crc32(memoryview(block)[HEAD.size :]) != tail_crc:
-            raise ValueError("the block is damaged")
-        rows = -(-n // lanes)
-        marks = -(-rows // every)
-        step = 8 + 8 * lanes
-        words = np.frombuffer(block, "<u4", n_words, HEAD.size + marks * step)
-        stop = rows if last is None else min(rows, last * every)
+    def decode_part(self, part: bytes) -> np.ndarray:
+        """The ids of a part; raises if they don't match their checksum."""
+        n, lanes, crc = PART.unpack_from(part)
+        states = np.frombuffer(part, "<u8", lanes, PART.size).copy()
+        words, at = np.frombuffer(part, "<u4", -1, PART.size + 8 * lanes), 0
         out = np.empty(n, np.uint32)
-        if n:
-            row, at = struct.unpack_from("<II", block, HEAD.size + first * step)
-            states = np.frombuffer(block, "<u8", lanes, HEAD.size + first * step + 8).copy()
-            mask, bits, half, low = np.uint64((1 << SCALE_BITS) - 1), np.uint64(SCALE_BITS), np.uint64(32), np.uint64(LOW)
-            for r in range(row, stop):
-                span = slice(r * lanes, min(n, (r + 1) * lanes))
-                x = states[: span.stop - span.start]
-                slot = x & mask
-                ids = self.symbol[slot]
-                out[span] = ids
-                x[:] = self.freq[ids] * (x >> bits) + slot - self.begin[ids]
-                need = np.flatnonzero(x < low)
-                x[need] = (x[need] << half) | words[at : at + len(need)]
-                at += len(need)
-        out = out[first * every * lanes : stop * lanes]
-        if first == 0 and last is None and zlib.crc32(out.astype("<u4").tobytes()) != crc:
-            raise ValueError("the ids don't match their checksum")
+        mask, bits, half, low = np.uint64((1 << SCALE_BITS) - 1), np.uint64(SCALE_BITS), np.uint64(32), np.uint64(LOW)
+        for begin in range(0, n, lanes):
+            x = states[: min(n - begin, lanes)]
+            slot = x & mask
+            ids = self.symbol[slot]
+            out[begin : begin + lanes] = ids
+            x[:] = self.freq[ids] * (x >> bits) + slot - self.begin[ids]
+            need = np.flatnonzero(x < low)
+            if at + len(need) > len(words):
+                raise ValueError("the part is damaged: its words end early")
+            x[need] = (x[need] << half) | words[at : at + len(need)]
+            at += len(need)
+        if zlib.crc32(out.astype("<u4").tobytes()) != crc:
+            raise ValueError("the part is damaged: its ids don't match their checksum")
         return out
 
+    def decode(self, block: bytes) -> np.ndarray:
+        """The ids of a block; raises if it is damaged."""
+        if not whole(block):
+            raise ValueError("the block is damaged")
+        return np.concatenate([np.zeros(0, np.uint32), *(self.decode_part(p) for p in parts_of(block))])
+
+
+def whole(block: bytes) -> bool:
+    magic, _, _, _, _, crc = HEAD.unpack_from(block)
+    return magic == MAGIC and zlib.crc32(memoryview(block)[HEAD.size :]) == crc
+
+
+def parts_of(block: bytes) -> Iterator[bytes]:
+    """The parts of a block from each checkpoint to the next: what decodes by itself."""
+    _, n, lanes, every, n_words, _ = HEAD.unpack_from(block)
+    count = -(-n // (lanes * every))
+    step = MARK.size + 8 * lanes
+    words = HEAD.size + count * step
+    marks = [MARK.unpack_from(block, HEAD.size + k * step) for k in range(count)] + [(0, n_words)]
+    for k in range(count):
+        crc, place = marks[k]
+        at = HEAD.size + k * step + MARK.size
+        ids = min(lanes * every, n - k * lanes * every)
+        yield PART.pack(ids, lanes, crc) + block[at : at + 8 * lanes] + block[words + 4 * place : words + 4 * marks[k + 1][1]]
+
 
 def tokenized(docs: DataFrame, path: str, end_id: int, key: str, text: str) -> DataFrame:
     """The ids of each document, in order within ``_part``; ``_part`` are ranges of ``key``, ``_before`` counts the part's ids so far."""
@@ -166,9 +186,9 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int, key: str = "
 
         def block() -> pa.RecordBatch:
             part, at, keys, sizes, ids = (list(c) for c in zip(*held, strict=True))
-            payload = coder.encode(np.frombuffer(b"".join(ids), f"<u{width}"))
-            cols = [pa.array([before[part[0]] + at[0]]), pa.array([keys], pa.list_(key_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([payload], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=["start", "keys", "sizes", "payload"])
+            payload = coder.encode(np.frombuffer(b"".join(ids), f"<u{width}"), LANES, CHECKPOINT_ROWS)
+            cols = [pa.array([before[part[0]] + at[0]]), pa.array([sum(sizes) > BLOCK_IDS]), pa.array([keys], pa.list_(key_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([payload], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["start", "long", "keys", "sizes", "payload"])
 
         for b in batches:
             key_type = b.column("key").type
@@ -181,7 +201,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int, key: str = "
         if held:
             yield block()
 
-    tokens.select("_part", "_before", "key", "n", "ids").mapInArrow(blocks, f"start long, keys array<{kind}>, sizes array<long>, payload binary").write.option("compression", "none").parquet(f"{folder}/blocks")
+    tokens.select("_part", "_before", "key", "n", "ids").mapInArrow(blocks, f"start long, long boolean, keys array<{kind}>, sizes array<long>, payload binary").write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 def read_ids(spark: SparkSession, folder: str, vocabulary: int) -> DataFrame:
@@ -191,6 +211,7 @@ def read_ids(spark: SparkSession, folder: str, vocabulary: int) -> DataFrame:
         freq[i] = f
     stored = spark.read.parquet(f"{folder}/blocks")
     kind = stored.select(F.get("keys", F.lit(0)).alias("k")).dtypes[0][1]
+    schema = f"key {kind}, start long, n long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(freq)
@@ -201,4 +222,26 @@ def read_ids(spark: SparkSession, folder: str, vocabulary: int) -> DataFrame:
                 raw = [ids[x:y].astype("<u4").tobytes() for x, y in zip(offs, offs[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([keys.values, pa.array(start + offs[:-1]), pa.array(np.diff(offs)), pa.array(raw, pa.binary())], names=["key", "start", "n", "ids"])
 
-    return stored.select("start", "keys", "sizes", "payload").mapInArrow(run, f"key {kind}, start long, n long, ids binary")
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, payload in enumerate(b.column(3)):
+                for k, part in enumerate(parts_of(payload.as_py())):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), b.column(2).slice(i, 1), pa.array([k]), pa.array([part])], names=["key", "start", "n", "part", "ids"])
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(freq)
+        for b in batches:
+            ids = [coder.decode_part(p).astype("<u4").tobytes() for p in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ids, pa.binary())], names=["key", "start", "n", "part", "ids"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [b"".join(p["ids"] for p in sorted(parts, key=lambda p: p["part"])) for parts in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary())], names=["key", "start", "n", "ids"])
+
+    blocks = stored.where("NOT long").select("start", "keys", "sizes", "payload").mapInArrow(run, schema)
+    of = f"key {kind}, start long, n long, part long, ids binary"
+    lone = stored.where("long").select(F.get("keys", F.lit(0)).alias("key"), "start", F.get("sizes", F.lit(0)).alias("n"), "payload")
+    long = lone.mapInArrow(parts, of).repartition("start", "part").mapInArrow(decoded, of)
+    long = long.groupBy("key", "start", "n").agg(F.collect_list(F.struct("part", "ids")).alias("parts")).mapInArrow(together, schema)
+    return blocks.unionByName(long)

@@ -87,10 +87,10 @@ def test_blocks_decode_from_any_checkpoint(n, size, lanes, every, seed):
     block = coder.encode(ids, lanes, every)
     assert (coder.decode(block) == ids).all()
     used = rans.HEAD.unpack_from(block)[2]
-    marks = -(-(-(-n // used)) // every)
-    for first in range(min(marks, 3)):
-        part = coder.decode(block, first, first + 1)
-        assert (part == ids[first * every * used : (first + 1) * every * used]).all()
+    parts = list(rans.parts_of(block))
+    assert len(parts) == -(-(-(-n // used)) // every)
+    for k, part in enumerate(parts):
+        assert (coder.decode_part(part) == ids[k * every * used : (k + 1) * every * used]).all()
     if n:
         broken = bytearray(block)
         broken[-1] ^= 1
@@ -98,6 +98,31 @@ def test_blocks_decode_from_any_checkpoint(n, size, lanes, every, seed):
             coder.decode(bytes(broken))
 
 
+def test_a_damaged_part_is_found_and_spoils_no_other():
+    ids = (np.random.default_rng(1).zipf(1.3, 5000) % 200).astype(np.uint32)
+    seen, counts = np.unique(ids, return_counts=True)
+    coder = rans.Coder(rans.scaled(seen, counts.astype(float), 200))
+    parts = list(rans.parts_of(coder.encode(ids, 8, 64)))
+    for at in (rans.PART.size - 1, rans.PART.size + 3, len(parts[3]) - 2):
+        broken = bytearray(parts[3])
+        broken[at] ^= 4
+        with pytest.raises(ValueError, match="damaged"):
+            coder.decode_part(bytes(broken))
+    assert (np.concatenate([coder.decode_part(p) for p in parts]) == ids).all()
+
+
+def test_long_documents_are_decoded_by_parts(spark, docs, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(rans, "BLOCK_IDS", 1000)
+    monkeypatch.setattr(rans, "LANES", 16)
+    monkeypatch.setattr(rans, "CHECKPOINT_ROWS", 8)
+    rans.write_ids(docs, f"{tmp_path}/ids", WORD, end_id=1)
+    stored = spark.read.parquet(f"{tmp_path}/ids/blocks")
+    assert stored.where("NOT long").count() > 5
+    assert all(len(list(rans.parts_of(r["payload"]))) > 10 for r in stored.where("long").collect())
+    found = [tuple(r) for r in rans.read_ids(spark, f"{tmp_path}/ids", ColumnBPE(WORD).size).collect()]
+    assert Counter((k, n, bytes(i)) for k, _, n, i in found) == Counter((r[0], len(e), raw(e)) for r in rows for e in [[*ids_of(WORD, r[1]), 1]])
+
+
 def test_op2_query(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     start = 0
