@@ -6,7 +6,8 @@ latent space. The labelled vectors (at most MOST_LABELLED rows of RANK numbers)
 exact cosines with all of them are computed in blocks; the nearest vote, weighted by similarity.
 
 Cases: a null or empty text has no terms and gets the labelled rows' share of label 1. Labels that are null or other
-than 0 and 1, and rows held out, teach nothing; a document with several labels counts with the smallest. Without
+than 0 and 1, and rows held out, teach nothing; a document with several labels counts with the smallest, an id with
+several texts teaches the one of the least hash. Equal cosines vote in the order of the labelled rows' ids. Without
 labelled rows every score is 0.5. Repeated rows are scored as often. An empty table gives an empty result. Labels, ids,
 languages and sources are no inputs of a score.
 """
@@ -96,6 +97,15 @@ def binary(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` largest of each row; of equal ones those that come first."""
+    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosines, near, axis=1).min(axis=1, keepdims=True)
+    for i in np.flatnonzero((cosines >= least).sum(axis=1) > k):
+        near[i] = np.argsort(-cosines[i], kind="stable")[:k]
+    return near
+
+
 @dataclass
 class Model:
     """What the workers get: bounded by TERMS, RANK and MOST_LABELLED."""
@@ -117,7 +127,7 @@ class Model:
         z = self.latent(x)
         cosines = z @ self.vectors.T
         k = min(VOTERS, len(self.labels))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        near = nearest(cosines, k)
         w = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(float) ** SHARPNESS
         w *= np.where(self.labels[near] == 1, self.prior / max(self.labels.mean(), 1e-9), (1 - self.prior) / max(1 - self.labels.mean(), 1e-9))
         total = w.sum(axis=1)
@@ -181,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["key", "y", "x"])
 
     kinds = dict(named.dtypes)["key"], dict(chosen.dtypes)["y"]
-    rows = named.join(F.broadcast(chosen), "key").select("key", "y", "text").dropDuplicates(["key"]).mapInArrow(sample, f"key {kinds[0]}, y {kinds[1]}, x binary").collect()
+    once = named.join(F.broadcast(chosen), "key").groupBy("key", "y").agg(F.min_by(F.coalesce("text", F.lit("")), F.md5(F.coalesce("text", F.lit("")))).alias("text"))
+    rows = once.mapInArrow(sample, f"key {kinds[0]}, y {kinds[1]}, x binary").collect()
     rows.sort(key=lambda r: r["key"])
     x, y = np.zeros((len(rows), TERMS), np.float32), np.array([r["y"] for r in rows])
     for i in range(len(rows)):

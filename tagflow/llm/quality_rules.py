@@ -1,7 +1,8 @@
 """Host-level quality rules.
 
-Rules judge each document; failures are counted per host, each host's rate is shrunk towards an empirical beta prior
-(method of moments over all hosts), and hosts whose shrunk rate is too high lose all their documents.
+Rules judge each document; failures are counted per host, each host's rate is shrunk towards an empirical beta prior,
+and hosts whose shrunk rate is too high lose all their documents. The prior is the beta-binomial law whose moments the
+hosts' rates have: the spread that a rate of few documents has by chance does not count as spread between hosts.
 
 Cases: a null or empty text has no words and fails. Documents without a host are judged alone. Repeated rows count
 as often as they occur and stay as often. An empty table gives an empty result. Only the named columns are read.
@@ -15,13 +16,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tagflow.llm.common import broadcast_if_small, written
+from tagflow.llm.common import broadcast_if_small, unused, written
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-#: A host goes when its shrunk failure rate exceeds this.
-MAX_HOST_RATE = 0.5
+#: A host goes when its shrunk failure rate exceeds this. The prior weighs between 1 and MOST_WEIGHT documents.
+MAX_HOST_RATE, MOST_WEIGHT = 0.5, 1000.0
 
 SYMBOLS = "#*$%&|<>"
 WHITE = "\t\n\v\f\r "
@@ -70,9 +72,11 @@ def host_verdicts(rated: DataFrame, host: str, failed: str, max_rate: float = MA
         F.count("*").alias("host_docs"), F.sum(F.col(failed).cast("long")).alias("host_failures")
     )
     rate = F.col("host_failures") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    # A beta law with mean m and variance v has weight m(1-m)/v - 1; equal hosts give a weight of 1000 documents.
-    weight = F.when(F.col("v") > 1e-9, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(1000.0)
+    prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("v"), F.avg(1 / F.col("host_docs")).alias("chance"))
+    # A rate of n documents varies by m(1-m)(r + (1-r)/n), r = 1/(weight + 1); without spread the weight is MOST_WEIGHT documents.
+    most = F.col("m") * (1 - F.col("m"))
+    r = F.when((most > 1e-12) & (F.col("chance") < 1 - 1e-9), (F.col("v") / most - F.col("chance")) / (1 - F.col("chance"))).otherwise(0.0)
+    weight = F.when(r > 1 / (MOST_WEIGHT + 1), F.greatest(F.lit(1.0), 1 / r - 1)).otherwise(MOST_WEIGHT)
     shrunk = (F.col("host_failures") + F.col("m") * weight) / (F.col("host_docs") + weight)
     return hosts.crossJoin(F.broadcast(prior)).select(host, "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk > max_rate).alias("host_failed"))
 
@@ -95,20 +99,22 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
 def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The rows of ``docs`` that rules and hosts keep, all columns as they are.
 
-    The rules read the texts once to count and once more to filter, so that texts need no shuffle where the failing
-    hosts are a small table: these are then broadcast. More of them join by a shuffled equi-join.
+    The rules read each text once; the rows are written with their verdict, from which hosts read two columns, and texts
+    need no shuffle where the failing hosts are a small table: these are then broadcast. More of them join by a shuffled
+    equi-join.
     """
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    named = docs.select(F.col(host).alias("_host"), F.col(text).alias("_body"))
-    rated = written(measured(named, ["_host"], "_body").select("_host", base.alias("base_failed")))
-    bad = broadcast_if_small(host_verdicts(rated, "_host", "base_failed", max_rate).where("host_failed").select(F.col("_host").alias(host)))
+    failed, bad_host, names = unused("_failed", docs.columns), unused("_bad_host", docs.columns), docs.columns
 
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fine = []
-            for t in b.column(text).to_pylist():
+            bad = []
+            for t in b.column(b.num_columns - 1).to_pylist():
                 n, _, _, _, repeated = text_metrics(t or "")
-                fine.append(not (n < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * n))
-            yield b.filter(pa.array(fine, pa.bool_()))
-
-    return docs.mapInArrow(passing, docs.schema).join(bad, host, "left_anti").select(*docs.columns)
+                bad.append(n < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * n)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(bad, pa.bool_())], names=[*names, failed])
+
+    judged = docs.select("*", F.col(text).alias(unused("_body", docs.columns))).mapInArrow(judge, T.StructType([*docs.schema, T.StructField(failed, T.BooleanType())]))
+    judged = written(judged)
+    verdicts = host_verdicts(judged.select(F.col(host).alias("_host"), F.col(failed).alias("base_failed")), "_host", "base_failed", max_rate)
+    bad = broadcast_if_small(verdicts.where("host_failed").select(F.col("_host").alias(bad_host)))
+    return judged.where(~F.col(failed)).join(bad, F.col(host) == F.col(bad_host), "left_anti").select(*names)

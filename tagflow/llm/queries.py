@@ -94,10 +94,11 @@ m AS (
   FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS k FROM f WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
+p AS (SELECT avg(k / n) AS m, coalesce(var_samp(k / n), 0) AS v, avg(1.0 / n) AS chance FROM h),
+r AS (SELECT m, CASE WHEN m * (1 - m) > 1e-12 AND chance < 1 - 1e-9 THEN (v / (m * (1 - m)) - chance) / (1 - chance) ELSE 0 END AS r FROM p),
 s AS (
   SELECT source, (k + m * wt) / (n + wt) AS host_rate
-  FROM h, (SELECT m, CASE WHEN v > 1e-9 THEN greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS wt FROM p))
+  FROM h, (SELECT m, CASE WHEN r > 1.0 / 1001 THEN greatest(1.0, 1 / r - 1) ELSE 1000.0 END AS wt FROM r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(host_rate, 9) AS host_rate,
        NOT base_failed AND NOT coalesce(host_rate > 0.5, false) AS kept
 FROM f LEFT JOIN s USING (source)
