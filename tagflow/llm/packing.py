@@ -1,9 +1,11 @@
 """Packing token pieces into windows by non-negative least squares over shallow length combinations.
 
-Documents are cut at the window; what is left over has lengths below it. Combinations of one to three lengths that fill
-the window exactly are enumerated, repeat counts are solved against the histogram of lengths by non-negative least
-squares, rounded down, and the residual lengths are packed greedily, longest first. The histogram has one entry per
-length, so the plan is bounded; pieces find their window by their place in the global order of lengths.
+Documents are cut at the window; what is left over has lengths below it. All combinations of one to three lengths that
+fill the window exactly are enumerated, and repeat counts are solved against the histogram of lengths by non-negative
+least squares. Of a solution spread over more combinations than MOST_USED, so many are drawn by their weight and solved
+for once more, so that the plan stays small. Counts are rounded so that their running sum is, and the residual lengths
+are packed greedily, longest first. The histogram has one entry per length, so the plan is bounded; pieces find their
+window by their place in the global order of lengths.
 
 Cases: a null text is an empty document, which has its end id alone. Repeated rows are packed like others. A very long
 document is cut into as many windows as it fills. An empty table gives an empty result. Only the named columns are read;
@@ -24,58 +26,77 @@ from tagflow.llm.common import before_part, ordered, slices
 from tagflow.llm.tokens import column_bpe
 
 WINDOW = 2048
-#: Second lengths tried for each first one, rounds of the solver.
-SECOND, ROUNDS = 24, 400
+#: A piece of this length or more that is a power of two may have a window for itself, as that is not padded.
+LONE = WINDOW // 2
+#: Rounds of the solver, combinations of a plan, and rounds to solve for these.
+ROUNDS, MOST_USED, ROUNDS_USED = 100, 8192, 400
 
 
-def combinations(hist: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def combinations(hist: np.ndarray, window: int = WINDOW, lone: int = LONE) -> np.ndarray:
     """Rows of three lengths (0: none), longest first, that fill the window, of lengths which occur."""
     have = np.flatnonzero(hist[:window])
     have = have[have > 0]
-    out = [(window, 0, 0)] if hist[window] else []
-    # A window at a power of two is not padded, so one length there is full as it is.
-    out += [(int(a), 0, 0) for a in have if a & (a - 1) == 0]
-    out += [(window - int(a), int(a), 0) for a in have if 2 * a <= window and hist[window - a]]
-    if len(have):
-        mass = np.cumsum(hist[have])
-        seconds = np.unique(have[np.searchsorted(mass, np.linspace(0, mass[-1] - 1, SECOND), side="right").clip(0, len(have) - 1)])
-        for b in seconds.tolist():
-            c = window - b - have
-            fits = (c > 0) & (hist[np.maximum(c, 0)] > 0)
-            triple = np.sort(np.stack([have[fits], np.full(fits.sum(), b), c[fits]]), axis=0)[::-1]
-            out += map(tuple, triple.T.tolist())
-    return np.array(sorted(set(out)), np.int64).reshape(-1, 3)
+    out = [np.array([(window, 0, 0)] * bool(hist[window]) + [(a, 0, 0) for a in have.tolist() if a & (a - 1) == 0 and a >= lone], np.int64).reshape(-1, 3)]
+    half = have[(2 * have <= window) & (hist[window - have] > 0)]
+    out.append(np.stack([window - half, half, np.zeros_like(half)], axis=1))
+    for c in have[3 * have <= window].tolist():
+        b = have[(have >= c) & (2 * have <= window - c)]
+        b = b[hist[window - c - b] > 0]
+        out.append(np.stack([window - c - b, b, np.full_like(b, c)], axis=1))
+    return np.concatenate(out)
 
 
 def solve(combos: np.ndarray, hist: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """x >= 0 with small ||A x - hist||, A[l, j] the times that combination j uses length l: accelerated projected gradients."""
+    """x >= 0 with small ||A x - hist||, A[l, j] the times that combination j uses length l: accelerated projected
+    gradients, each count stepping by the row sums of A'A, which bound it from above."""
     h = hist.astype(float)
     h[0] = 0
-    used = combos > 0
-    size = len(hist)
-    apply = lambda x: np.bincount(combos.ravel(), (np.repeat(x, 3).reshape(-1, 3) * used).ravel(), size)
-    back = lambda r: (r[combos] * used).sum(axis=1)
-    bound = float((back(apply(np.ones(len(combos))))).max()) if len(combos) else 1.0  # row sums bound the largest eigenvalue
+    flat, used, size = combos.ravel(), combos > 0, len(hist)
+
+    def apply(x: np.ndarray) -> np.ndarray:
+        return np.bincount(flat, (x[:, None] * used).ravel(), size)
+
+    def back(r: np.ndarray) -> np.ndarray:
+        r[0] = 0
+        return r[combos[:, 0]] + r[combos[:, 1]] + r[combos[:, 2]]
+
+    bound = back(apply(np.ones(len(combos))))
     x = y = np.zeros(len(combos))
     t = 1.0
     for _ in range(rounds):
         new = np.maximum(0, y - back(apply(y) - h) / bound)
+        if ((y - new) * (new - x) * bound).sum() > 0:
+            t = 1.0  # the momentum points uphill
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         y, x = new + (last - 1) / t * (new - x), new
     return x
 
 
-def templates(hist: np.ndarray, window: int = WINDOW) -> list[tuple[list[int], int]]:
-    """Windows as (lengths, times): the rounded solution, then the residual, longest first with the longest that fits."""
-    left, out = hist.astype(np.int64).copy(), []
-    combos = combinations(left, window)
-    x = solve(combos, left) if len(combos) else np.zeros(0)
-    for j in np.argsort(-x, kind="stable"):
+def solved(hist: np.ndarray, window: int = WINDOW) -> list[tuple[list[int], int]]:
+    """Windows as (lengths, times), no more of a length than there are: the rounded solution."""
+    combos = combinations(hist, window)
+    if not len(combos):
+        return []
+    x = solve(combos, hist)
+    if (some := np.count_nonzero(x)) > MOST_USED:
+        drawn = np.sort(np.random.default_rng(0).choice(len(x), min(some, MOST_USED), replace=False, p=x / x.sum()))
+        combos = combos[drawn]
+        x = solve(combos, hist, ROUNDS_USED)
+    order, left, out = np.lexsort(combos.T[::-1]), hist.astype(np.int64).copy(), []
+    counts = np.diff(np.floor(np.cumsum(x[order]) + 0.5), prepend=0).astype(np.int64)
+    for j, n in zip(order[counts > 0].tolist(), counts[counts > 0].tolist(), strict=True):
         lengths, times = np.unique(combos[j][combos[j] > 0], return_counts=True)
-        n = int(min(np.floor(x[j] + 0.5), (left[lengths] // times).min()))
-        if n > 0:
+        if (n := int(min(n, (left[lengths] // times).min()))) > 0:
             left[lengths] -= n * times
-            out.append((sorted(combos[j][combos[j] > 0].tolist(), reverse=True), n))
+            out.append((combos[j][combos[j] > 0].tolist(), n))
+    return out
+
+
+def templates(hist: np.ndarray, window: int = WINDOW) -> list[tuple[list[int], int]]:
+    """Windows as (lengths, times): the rounded solution, then the residual, longest first with the longest that fits."""
+    out, left = solved(hist, window), hist.astype(np.int64).copy()
+    for lengths, n in out:
+        np.subtract.at(left, lengths, n)
     have = [int(a) for a in np.flatnonzero(left) if a > 0]
     while have:
         room, lengths, spent = window, [], {}

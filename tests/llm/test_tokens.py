@@ -202,6 +202,57 @@ def test_op8_query(spark, sf_dir):
     assert check_packing(queries.op8_nnls_packing(spark, sf_dir).collect(), docs) < 0.05
 
 
+def exact_nnls(a, h):
+    """Lawson and Hanson's active sets."""
+    x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    while True:
+        w = a.T @ (h - a @ x)
+        w[passive] = -np.inf
+        if not len(w) or w.max() < 1e-8:
+            return x
+        passive[w.argmax()] = True
+        while True:
+            s = np.zeros(len(x))
+            s[passive] = np.linalg.lstsq(a[:, passive], h, rcond=None)[0]
+            if s[passive].min() > 0:
+                break
+            low = passive & (s <= 0)
+            x = x + (x[low] / (x[low] - s[low])).min() * (s - x)
+            passive &= x > 1e-12
+        x = s
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_solver_comes_near_exact_least_squares(seed):
+    rng = np.random.default_rng(seed)
+    window = 48
+    hist = np.zeros(window + 1, np.int64)
+    hist[1:] = rng.integers(0, 30, window) * (rng.random(window) < 0.7)
+    combos = packing.combinations(hist, window, lone=window)
+    brute = {tuple(sorted(c, reverse=True)) for a in range(1, window + 1) for b in range(window + 1) for c in [(a, b, window - a - b)] if 0 <= c[2] and all(x == 0 or hist[x] for x in c)}
+    assert sorted(map(tuple, combos.tolist())) == sorted(brute)
+    a = np.zeros((window + 1, len(combos)))
+    for j, c in enumerate(combos):
+        for x in c[c > 0]:
+            a[x, j] += 1
+    miss = lambda x: np.linalg.norm(a @ x - hist)
+    found, least = packing.solve(combos, hist, 400), exact_nnls(a, hist.astype(float))
+    assert (found >= 0).all() and miss(least) - 1e-6 <= miss(found) <= 1.01 * miss(least) + 0.05
+
+
+def test_most_windows_come_from_the_solution():
+    """Of lengths as documents have them; the plan comes near the ideal, and does not give small pieces windows alone."""
+    rng = np.random.default_rng(7)
+    sizes = rng.lognormal(6.5, 1, 30_000).astype(int) + 1
+    hist = np.bincount(sizes % 2048, minlength=2049)
+    hist[0], hist[2048] = 0, (sizes // 2048).sum()
+    plan, solution = packing.templates(hist), packing.solved(hist)
+    count = lambda windows: sum(n for _, n in windows)
+    ideal = (hist * np.arange(2049)).sum() / 2048
+    assert count(plan) <= 1.002 * ideal + 2 and count(solution) > 0.8 * count(plan)
+    assert len(solution) <= packing.MOST_USED + 1 and not any(len(w) == 1 and w[0] < 1024 for w, _ in solution)
+
+
 def test_solver_reproduces_a_histogram_that_combinations_fill():
     hist = np.zeros(2049, np.int64)
     for a, b, c, n in ((1000, 1048, 0, 30), (700, 700, 648, 20), (1500, 300, 248, 50)):
