@@ -64,11 +64,12 @@ def jacobi(grid: DataFrame, epsilon: float, most: int = 100) -> DataFrame:
     """Relaxed (i, j, v) and the rounds it took: stops when no cell moves by ``epsilon`` (Q17, A8). Edges are fixed.
 
     A grid that still moves after ``most`` rounds is an error."""
-    state = cut(grid.select("i", "j", F.col("v").cast("double").alias("v")))
+    state = before = cut(grid.select("i", "j", F.col("v").cast("double").alias("v")))
     for k in range(most):
         near = neighbours(state, CROSS, ("i", "j"), "v")
         mean = (F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")) / 4
-        moved = cut(near.select("i", "j", F.coalesce(mean, F.col("v")).alias("v"), F.abs(F.coalesce(mean, F.col("v")) - F.col("v")).alias("delta")))
+        moved = cut(near.select("i", "j", F.coalesce(mean, F.col("v")).alias("v"), F.abs(F.coalesce(mean, F.col("v")) - F.col("v")).alias("delta")), replacing=before)
+        before = moved
         state = moved.select("i", "j", "v")
         if (moved.agg(F.max("delta")).first()[0] or 0.0) < epsilon:
             break
@@ -103,7 +104,7 @@ def sor(grid: DataFrame, n: int, m: int, omega: float, rounds: int, b: int = 64)
         got = state.select(F.explode(sent).alias("r")).groupBy("r.ti", "r.tj").agg(*(F.max(F.when(F.col("r.name") == name, F.col("r.values"))).alias(name) for name in rims))
         twice = wave - F.col("ti") - F.col("tj")
         turn = F.when(twice % 2 == 0, twice / 2).otherwise(0).cast("long")
-        state = cut(got.where(F.col("tile").isNotNull()).select("ti", "tj", relax(turn, "ti", "tj", "tile", "north", "south", "west", "east").alias("tile")))
+        state = cut(got.where(F.col("tile").isNotNull()).select("ti", "tj", relax(turn, "ti", "tj", "tile", "north", "south", "west", "east").alias("tile")), replacing=state)
     at = state.select("ti", "tj", w.alias("w"), F.posexplode("tile").alias("p", "v"))
     return at.select((F.col("ti") * b + F.expr("p div w")).alias("i"), (F.col("tj") * b + F.expr("p % w")).alias("j"), "v")
 

@@ -84,7 +84,7 @@ def cholesky(a: DataFrame, n: int, b: int) -> DataFrame:
         column = cut(below.unionByName(diagonal.select(F.col("j").alias("i"), "j", F.col("d").alias("tile"))))
         done.append(column)
         l, r = column.select("i", F.col("tile").alias("l")), column.select(F.col("i").alias("j"), F.col("tile").alias("r"))  # noqa: E741
-        rest = cut(rest.where(f"j > {k}").join(l, "i").join(r, "j").select("i", "j", update("tile", "l", "r").alias("tile")))
+        rest = cut(rest.where(f"j > {k}").join(l, "i").join(r, "j").select("i", "j", update("tile", "l", "r").alias("tile")), replacing=rest)
     out = done[0]
     for column in done[1:]:
         out = out.unionByName(column)
@@ -118,5 +118,5 @@ def inverse(a: DataFrame, n: int, b: int) -> DataFrame:
     for k in range(n // b):
         pivot = state.where(f"i = {k} AND j = {k}").select(invert("tile").alias("p"), F.lit(k).cast("long").alias("k"))
         l, r = state.where(f"j = {k}").select("i", F.col("tile").alias("l")), state.where(f"i = {k}").select("j", F.col("tile").alias("r"))  # noqa: E741
-        state = cut(state.join(l, "i").join(r, "j").crossJoin(F.broadcast(pivot)).select("i", "j", changed("i", "j", "k", "tile", "p", "l", "r").alias("tile")))
+        state = cut(state.join(l, "i").join(r, "j").crossJoin(F.broadcast(pivot)).select("i", "j", changed("i", "j", "k", "tile", "p", "l", "r").alias("tile")), replacing=state)
     return state

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tagflow.storage import cut
+from tagflow.storage import cut, remove
 
 
 def frontier(start: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 1000, all_levels: bool = True) -> DataFrame:
@@ -22,6 +22,8 @@ def frontier(start: DataFrame, step: Callable[[DataFrame], DataFrame], most: int
         if level.isEmpty():
             break
         levels.append(level)
+        if not all_levels:
+            remove(start.sparkSession, levels.pop(0).cut_path)
     else:
         raise RuntimeError(f"still growing after {most} levels")
     out = levels.pop()
