@@ -2,17 +2,23 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame, which is
 written as Parquet and read again as the next one's documents. All but the last return the columns of documents.
+
+The near-duplicate stage compares what SimHash pigeonring filtering (operator 7) links, and what bands of minimum hashes
+bring together beyond that, by the exact similarity of five-word shingles: fingerprints alone miss most pairs of 0.8.
+
+Cases: as in the operators' own statements. Documents without words fall to the quality rules; rows without an id stay
+apart from the near-duplicates; equal rows are one document to that stage. No documents give no pieces.
 """
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tagflow.llm import knn_quality, near_texts, quality_rules
-from tagflow.llm.common import shared_dir, table
 from tagflow.llm.queries import packed
+from tagflow.sources import table
+from tagflow.storage import fresh, remove
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +33,7 @@ def host_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by a similarity of 0.8 or more of five-word shingles."""
+    """One document, that of the smallest id, of each group of texts whose five-word shingles are similar by 0.8 or more."""
     return near_texts.deduplicated(docs)
 
 
@@ -48,9 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what a stage leaves is removed as soon as the next one's rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = fresh(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

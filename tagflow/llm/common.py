@@ -2,39 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagflow.storage import cut
+
 #: Bytes of text that a task handles at a time; a longer text is a slice of its own.
 SLICE_BYTES = 12 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: a cut in the lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, compression="zstd")
 
 
 #: Tables are broadcast up to this size, which is measured first.
@@ -76,7 +60,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, counted: DataFrame,
     """
     hot = salts_of(counted, key, total)
     spread = salted(left, hot, key, F.xxhash64(*left.columns))
-    return spread.join(for_salts(right, hot, key), [key, "salt"], how).drop("salt")
+    # Merged at every size: broadcasts of the many joins of a loop would add up in the driver.
+    return spread.join(for_salts(right, hot, key).hint("merge"), [key, "salt"], how).drop("salt")
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

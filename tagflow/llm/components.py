@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagflow.llm.common import spread_join, written
+from tagflow.storage import cut
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,7 +19,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = written(both)
     state = (edges.count(), None)
     while True:
-        edges = written(small_star(large_star(edges, state[0]), state[0]))
+        edges = cut(small_star(large_star(edges, state[0]), state[0]), "zstd", edges)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
         if now == state:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

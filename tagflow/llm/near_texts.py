@@ -141,7 +141,7 @@ def bucketed(nodes: DataFrame) -> DataFrame:
     """seg, val, id and pivot (the bucket's least id) of the buckets that two nodes or more share."""
     banded = nodes.select(F.posexplode("bands").alias("seg", "val"), "id")
     shared = banded.groupBy("seg", "val").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1").drop("n")
-    return written(banded.join(shared, ["seg", "val"]))
+    return written(banded.join(shared.hint("merge"), ["seg", "val"]))
 
 
 def simhash_pairs(nodes: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def simhash_pairs(nodes: DataFrame) -> DataFrame:
     least = written(nodes.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     equal = spread_join(nodes.select("fp", F.col("id").alias("b")), least.select("fp", F.col("id").alias("a")), "fp", least, nodes.count()).select("a", "b").where("a <> b")
     side = lambda c: least.select(F.col("fp").alias(f"fp_{c}"), F.col("id").alias(c))
-    linked = links(least).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(side("a"), "fp_a").join(side("b"), "fp_b")
+    linked = links(least).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(side("a").hint("merge"), "fp_a").join(side("b").hint("merge"), "fp_b")
     return equal.unionByName(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
@@ -158,7 +158,7 @@ def pivot_pairs(shared: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     pivots = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     pairs = written(pivots.unionByName(simhash_pairs(nodes)).distinct())
     of = lambda c: nodes.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    both = spread_join(pairs.join(of("b"), "b"), of("a"), "a", pairs.groupBy("a").agg(F.count("*").alias("n")), pairs.count())
+    both = spread_join(pairs.join(of("b").hint("merge"), "b"), of("a"), "a", pairs.groupBy("a").agg(F.count("*").alias("n")), pairs.count())
     near = both.where(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,12 +175,12 @@ def pivot_pairs(shared: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 def bucket_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, least: float, nearest: int | None) -> DataFrame:
     """a, b, ra, rb: pairs of nodes of different components (roots) that meet in a bucket and that their sketches leave."""
-    named = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("seg", "val", "id", F.coalesce("root", "id").alias("root"))
+    named = shared.join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("seg", "val", "id", F.coalesce("root", "id").alias("root"))
     named = written(named)
     mixed = named.groupBy("seg", "val").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("seg", "val")
-    left = written(named.join(mixed, ["seg", "val"]).withColumnRenamed("id", "fp"))
-    of = nodes.select(F.col("id").alias("fp"), "size", "sketch").join(left.select("fp", "root").distinct(), "fp")
-    dealt = cells(left.drop("root"), left.groupBy("seg", "val").agg(F.count("*").alias("n"))).join(of, "fp")
+    left = written(named.join(mixed.hint("merge"), ["seg", "val"]).withColumnRenamed("id", "fp"))
+    of = nodes.select(F.col("id").alias("fp"), "size", "sketch").join(left.select("fp", "root").distinct().hint("merge"), "fp")
+    dealt = cells(left.drop("root"), left.groupBy("seg", "val").agg(F.count("*").alias("n"))).join(of.hint("merge"), "fp")
 
     def emit(t: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, sizes, roots, side, los, his = (t[c].to_numpy() for c in ("fp", "size", "root", "side", "lo", "hi"))
@@ -206,7 +206,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str, wor
     texts = docs.select(name_of(F.col(text)).alias("name"), F.col(text).alias("text")).join(wanted, "name").groupBy("id").agg(F.first("text").alias("text"))
     texts = written(texts)
     side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    both, names = spread_join(pairs.join(side("b"), "b"), side("a"), "a", pairs.groupBy("a").agg(F.count("*").alias("n")), pairs.count()), pairs.columns
+    both, names = spread_join(pairs.join(side("b").hint("merge"), "b"), side("a"), "a", pairs.groupBy("a").agg(F.count("*").alias("n")), pairs.count()), pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,13 +226,15 @@ def connected(docs: DataFrame, nodes: DataFrame, text: str, words: int, least: f
     roots = components(verified(docs, nodes, pairs, text, words, least))
     tried = pairs
     for nearest in (NEAREST, None):
-        pairs = written(bucket_pairs(shared, nodes, roots, least, nearest).join(tried, ["a", "b"], "left_anti"))
+        pairs = written(bucket_pairs(shared, nodes, roots, least, nearest).join(tried.hint("merge"), ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             break
-        merged = components(verified(docs, nodes, pairs, text, words, least), "ra", "rb").select(F.col("node").alias("old"), F.col("root").alias("new"))
+        tried, found = tried.unionByName(pairs.select("a", "b")), written(verified(docs, nodes, pairs, text, words, least))
+        if found.isEmpty():
+            continue
+        merged = components(found, "ra", "rb").select(F.col("node").alias("old"), F.col("root").alias("new"))
         named = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).unionByName(merged.select(F.col("old").alias("node"), F.col("old").alias("root"))).distinct()
         roots = written(named.join(merged, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).where("node <> root"))
-        tried = tried.unionByName(pairs.select("a", "b"))
     return roots
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagflow.llm import bpe_chunks, chat, html_text, knn_quality, packing, quality_rules, rabitq, rans, sharding, simhash
-from tagflow.llm.common import shared_dir, table, written
+from tagflow.llm.common import written
 from tagflow.llm.tokens import column_bpe
+from tagflow.sources import table
+from tagflow.storage import fresh
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -22,7 +23,7 @@ def op1_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(WORD_BPE)
-    folder = f"{shared_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    folder = fresh(spark, "ids")
     rans.write_ids(table(spark, sf_dir, "documents"), folder, path, end_id=1)
     stored = rans.read_ids(spark, folder, column_bpe(path).size)
     return stored.select(F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -136,7 +136,7 @@ def cells(buckets: DataFrame, counted: DataFrame, *carried: str) -> DataFrame:
 
     ``counted``: seg, val and n, the rows of the buckets that are wanted.
     """
-    out = buckets.join(counted.select("seg", "val", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), ["seg", "val"])
+    out = buckets.join(counted.select("seg", "val", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).hint("merge"), ["seg", "val"])
     out = out.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
