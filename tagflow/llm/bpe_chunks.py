@@ -108,7 +108,7 @@ def chunk_table(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         added = added_strings(path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", OPENED_BYTES):
             hashes, begins, names = [], [0], []
             for _, text, ends in chunks_of(b, "text", added):
                 names.append(xxhash.xxh3_128_digest(text))
@@ -301,7 +301,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     Texts are shuffled once, compressed; of chunks only hashes are counted, and ids travel for shared chunks alone.
     """
     docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    table = written(chunk_table(docs, path).groupBy("th").agg(F.count("*").alias("n"), F.first("hashes").alias("hashes")))
+    # Written first: the texts' workers need the room that an aggregate in the same task would take.
+    table = written(written(chunk_table(docs, path)).groupBy("th").agg(F.count("*").alias("n"), F.first("hashes").alias("hashes")))
     rows, chunks = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()
     each = table.select("th", F.posexplode("hashes").alias("seq", "hash"))
     shared = each.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("th", "seq")).alias("o")).where("n > 1")

@@ -58,6 +58,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, counted: DataFrame,
 
     ``counted``: key and n, the rows of ``left`` that have it; ``total``: all rows of ``left``.
     """
+    if total <= HOT_ROWS:
+        return left.join(right.hint("merge"), key, how)
     hot = salts_of(counted, key, total)
     spread = salted(left, hot, key, F.xxhash64(*left.columns))
     # Merged at every size: broadcasts of the many joins of a loop would add up in the driver.
