@@ -274,7 +274,7 @@ def assembled(batches: Iterator[pa.RecordBatch], path: str, decode: bool) -> Ite
 
 
 def encoded_chunks(first: DataFrame, path: str) -> DataFrame:
-    """hash and ids of the chunks that rows of (th, z, wanted: array of (seq, hash)) own, each encoded once."""
+    """hash and ids of the chunks that rows of (key, th, z, wanted: array of (seq, hash)) own, each encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, added, last = column_bpe(path), added_strings(path), None
@@ -292,7 +292,7 @@ def encoded_chunks(first: DataFrame, path: str) -> DataFrame:
             raw = [ids[x:y].tobytes() for x, y in zip(offs, offs[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(raw, pa.binary())], names=["hash", "ids"])
 
-    return first.select("th", "z", "wanted").mapInArrow(run, "hash binary, ids binary")
+    return first.select("key", "th", "z", "wanted").mapInArrow(run, "hash binary, ids binary")
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
@@ -307,7 +307,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     each = table.select("th", F.posexplode("hashes").alias("seq", "hash"))
     shared = each.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("th", "seq")).alias("o")).where("n > 1")
     shared = written(shared.select("hash", "n", F.col("o.th").alias("th"), F.col("o.seq").alias("seq")))
-    owners = shared.groupBy("th").agg(F.collect_list(F.struct("seq", "hash")).alias("wanted")).withColumn("salt", F.lit(0))
+    owners = shared.groupBy("th").agg(F.collect_list(F.struct("seq", "hash")).alias("wanted"))
+    owners = owners.withColumn("salt", F.pmod(F.size("wanted"), F.lit(1)))  # 0, but no literal: both joins are to share a shuffle
     hot_texts, hot_chunks = salts_of(table, "th", rows), salts_of(shared, "hash", chunks)
     kind = dict(docs.dtypes)["key"]
 
