@@ -46,6 +46,17 @@ def heat_step(grid: DataFrame, by: Sequence[str], x: str, u: str, alpha: float)
     return grid.withColumn(u, new)
 
 
+def heat(grid: DataFrame, x: str, u: str, alpha: float, steps: int) -> DataFrame:
+    """``steps`` explicit steps of the heat equation over cells (x, u) of one rod (Q15): a loop over time, each step one
+    shuffle of cells to those that read them; ends stay as they are."""
+
+    def step(state: DataFrame, _: int) -> DataFrame:
+        near = neighbours(state, ((-1,), (1,)), (x,), u)
+        return near.select(x, F.when(F.col("n0").isNull() | F.col("n1").isNull(), F.col(u)).otherwise(F.col(u) + alpha * (F.col("n0") - 2 * F.col(u) + F.col("n1"))).alias(u))
+
+    return loop(grid.select(x, u), step, steps, every=3)
+
+
 def neighbours(grid: DataFrame, offsets: Sequence[tuple[int, ...]], keys: Sequence[str], value: str) -> DataFrame:
     """Each cell with its neighbours' values as n0, n1, ...; null beyond the edge (I2, I3). One shuffle: every cell is
     sent to the cells that read it, and these gather what arrived."""
@@ -145,9 +156,9 @@ def stencil_3d(grid: DataFrame, coefficients: Sequence[float], steps: int) -> Da
     return loop(grid, step, steps, every=1)
 
 
-def boundary(value: Column, default: float) -> Column:
+def boundary(value: Column, default: Column | float) -> Column:
     """A neighbour's value, or the default beyond the edge."""
-    return F.coalesce(value, F.lit(default))
+    return F.coalesce(value, default if isinstance(default, Column) else F.lit(default))
 
 
 def traced(spark: SparkSession, width: int, height: int, spheres: Sequence[tuple[float, ...]], light: tuple[float, float, float]) -> DataFrame:

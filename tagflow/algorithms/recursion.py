@@ -86,22 +86,27 @@ def unbalanced_tree(spark: SparkSession, fanout: float = 4.0, depth: int = 6, se
 
 
 def shortest_paths(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """i, j, d: least sums over paths (Q9, A12) by min-plus squaring: each round joins paths that meet and doubles their length.
+    """i, j, d: least sums over paths (Q9, A12) by min-plus doubling: each round joins paths that meet, of which one at
+    least has been found or shortened in the round before.
 
     Distances must not be negative. ``rounds`` bounds the doubling; by default it stops when nothing shortens.
     """
-    from tagflow.storage import cut
+    from tagflow.storage import cut, remove
 
-    paths = cut(edges.groupBy("i", "j").agg(F.min("d").alias("d")))
-    done, k = None, 0
+    paths = cut(edges.groupBy("i", "j").agg(F.min("d").alias("d")).withColumn("new", F.lit(True)))
+    k = 0
     while rounds is None or k < rounds:
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.j") == F.col("b.i")).where("a.i <> b.j").select(F.col("a.i").alias("i"), F.col("b.j").alias("j"), (F.col("a.d") + F.col("b.d")).alias("d"))
-        paths = cut(paths.unionByName(longer).groupBy("i", "j").agg(F.min("d").alias("d")))
-        now = tuple(paths.agg(F.count("*"), F.sum(F.col("d").cast("decimal(38,9)"))).first())
-        if now == done:
+        new, k = paths.where("new"), k + 1
+        meet = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.j") == F.col("b.i")).where("a.i <> b.j").select(F.col("a.i").alias("i"), F.col("b.j").alias("j"), (F.col("a.d") + F.col("b.d")).alias("d"))
+        longer = meet(new, paths).unionByName(meet(paths.where("NOT new"), new))
+        both = paths.select("i", "j", "d", F.col("d").alias("was")).unionByName(longer.withColumn("was", F.lit(None).cast("double")))
+        least = both.groupBy("i", "j").agg(F.min("d").alias("d"), F.min("was").alias("was"))
+        after = cut(least.select("i", "j", "d", (F.col("was").isNull() | (F.col("d") < F.col("was"))).alias("new")))
+        remove(edges.sparkSession, paths.cut_path)
+        paths = after
+        if paths.where("new").isEmpty():
             break
-        done, k = now, k + 1
-    return paths
+    return paths.select("i", "j", "d")
 
 
 def backward_items(spark: SparkSession, n: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,11 +16,11 @@ def tile_of(raw: bytes, b: int) -> np.ndarray:
     return np.frombuffer(raw, "<f8").reshape(b, b)
 
 
-def to_tiles(cells: DataFrame, b: int) -> DataFrame:
-    """Cells (i, j, v) of a matrix whose sides ``b`` divides, as tiles; missing cells are 0."""
+def to_tiles(cells: DataFrame, b: int, missing: float = 0.0) -> DataFrame:
+    """Cells (i, j, v) of a matrix whose sides ``b`` divides, as tiles; missing cells are 0 or as told."""
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.zeros((b, b))
+        t = np.full((b, b), missing)
         t[pdf["i"] % b, pdf["j"] % b] = pdf["v"]
         return pd.DataFrame({"i": [key[0]], "j": [key[1]], "tile": [t.astype("<f8").tobytes()]})
 
@@ -47,16 +49,67 @@ def gemm(a: DataFrame, c: DataFrame, onto: DataFrame, alpha: float = 1.0, beta:
 
 
 def multiply_tiles(a: DataFrame, c: DataFrame, b: int) -> DataFrame:
-    """The same on tiles: a tile product for each pair that meets, tiles summed by their place; sums combine on the map side of a second step."""
+    """The same on tiles: products of the pairs that meet are summed by their place where they are made, then once more;
+    a place's second sum has a tile for each task of the join, however long the inner side is."""
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sums: dict[tuple, np.ndarray] = {}
+            for i, j, x, y in zip(pdf["i"], pdf["j"], pdf["x"], pdf["y"], strict=True):
+                product = tile_of(x, b) @ tile_of(y, b)
+                sums[i, j] = sums[i, j] + product if (i, j) in sums else product
+            yield pd.DataFrame([(i, j, t.tobytes()) for (i, j), t in sums.items()], columns=["i", "j", "tile"])
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((b, b))
-        for x, y in zip(pdf["x"], pdf["y"], strict=True):
-            total += tile_of(x, b) @ tile_of(y, b)
+        for t in pdf["tile"]:
+            total += tile_of(t, b)
         return pd.DataFrame({"i": [key[0]], "j": [key[1]], "tile": [total.tobytes()]})
 
     left, right = a.select("i", F.col("j").alias("k"), F.col("tile").alias("x")), c.select(F.col("i").alias("k"), "j", F.col("tile").alias("y"))
-    return left.join(right, "k").groupBy("i", "j").applyInPandas(add, "i long, j long, tile binary")
+    made = left.join(right, "k").select("i", "j", "x", "y").mapInPandas(products, "i long, j long, tile binary")
+    return made.groupBy("i", "j").applyInPandas(add, "i long, j long, tile binary")
+
+
+def shortest_paths(a: DataFrame, n: int, b: int) -> DataFrame:
+    """Least sums over paths on tiles of distances (Q9): for each k the pivot tile's own paths, then its row and column,
+    then all others through them. Tiles hold inf where there is no road; distances must not be negative."""
+
+    def through(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.full((b, b), np.inf)
+        for k in range(b):
+            np.minimum(out, x[:, k, None] + y[None, k, :], out=out)
+        return out
+
+    @F.pandas_udf("binary")
+    def closed(s: pd.Series) -> pd.Series:
+        out = []
+        for raw in s:
+            t = tile_of(raw, b).copy()
+            for k in range(b):
+                np.minimum(t, t[:, k, None] + t[None, k, :], out=t)
+            out.append(t.tobytes())
+        return pd.Series(out)
+
+    @F.pandas_udf("binary")
+    def shorter(i: pd.Series, j: pd.Series, k: pd.Series, s: pd.Series, p: pd.Series, l: pd.Series, r: pd.Series) -> pd.Series:  # noqa: E741
+        out = []
+        for i_, j_, k_, x, mid, col, row in zip(i, j, k, s, p, l, r, strict=True):
+            x, mid, col, row = (tile_of(t, b) for t in (x, mid, col, row))
+            t = mid
+            if i_ != k_ or j_ != k_:
+                first = mid if i_ == k_ else np.minimum(col, through(col, mid))
+                last = mid if j_ == k_ else np.minimum(row, through(mid, row))
+                t = np.minimum(x, through(first, last))
+            out.append(t.tobytes())
+        return pd.Series(out)
+
+    state = cut(a)
+    for k in range(n // b):
+        pivot = state.where(f"i = {k} AND j = {k}").select(closed("tile").alias("p"), F.lit(k).cast("long").alias("k"))
+        l, r = state.where(f"j = {k}").select("i", F.col("tile").alias("l")), state.where(f"i = {k}").select("j", F.col("tile").alias("r"))  # noqa: E741
+        state = cut(state.join(l, "i").join(r, "j").crossJoin(F.broadcast(pivot)).select("i", "j", shorter("i", "j", "k", "tile", "p", "l", "r").alias("tile")), replacing=state)
+    return state
 
 
 def cholesky(a: DataFrame, n: int, b: int) -> DataFrame:

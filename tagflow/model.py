@@ -7,7 +7,7 @@ lazy: a put is a union, a get is a join, and waiting for quiescence is an action
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +16,21 @@ from pyspark.sql import functions as F
 from tagflow.storage import cut
 
 
+Callback = Callable[[DataFrame], None]
+
+
 @dataclass(frozen=True)
 class TagSet:
-    """Tags: rows of key columns. ``preserve`` memoizes: a tag put twice prescribes once."""
+    """Tags: rows of key columns. ``preserve`` memoizes: a tag put twice prescribes once.
+
+    cancelled: tags that no step runs for, whenever they are put; stopped: no step runs at all (C11). callbacks: see ``on_put``.
+    """
 
     rows: DataFrame
     preserve: bool = False
+    cancelled: DataFrame | None = None
+    stopped: bool = False
+    callbacks: Sequence[Callback] = ()
 
     def put(self, more: DataFrame) -> TagSet:
         return replace(self, rows=self.rows.unionByName(more))
@@ -33,9 +42,51 @@ class TagSet:
     def tags(self) -> DataFrame:
         return self.rows.dropDuplicates() if self.preserve else self.rows
 
+    def scan(self) -> DataFrame:
+        """The tags that an iteration meets: all of a memoizing collection; another keeps none."""
+        return self.tags() if self.preserve else self.rows.limit(0)
+
+    def cancel(self, tags: DataFrame) -> TagSet:
+        """These tags' steps don't run, though the tags stay (C11); it holds until ``uncancel``."""
+        more = tags.select(*self.rows.columns)
+        return replace(self, cancelled=more if self.cancelled is None else self.cancelled.unionByName(more))
+
+    def cancel_all(self) -> TagSet:
+        return replace(self, stopped=True)
+
+    def uncancel(self) -> TagSet:
+        """Forgets what was cancelled."""
+        return replace(self, cancelled=None, stopped=False)
+
+    def runnable(self) -> DataFrame:
+        tags = self.tags()
+        if self.stopped:
+            return tags.limit(0)
+        if self.cancelled is None:
+            return tags
+        gone = self.cancelled.distinct().select(*(F.col(c).alias(f"_c_{c}") for c in tags.columns))
+        same = [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in tags.columns]
+        return tags.join(gone, same, "left_anti")
+
     def prescribe(self, step, *args) -> DataFrame:
         """What ``step``, a function of DataFrames, makes of the tags (C1, P8: call it once for each step)."""
-        return step(self.tags(), *args)
+        return step(self.runnable(), *args)
+
+    def on_put(self, callback: Callback) -> TagSet:
+        """``callback`` gets the tags that were put, each once if the collection memoizes, when they are settled (I8)."""
+        return replace(self, callbacks=(*self.callbacks, callback))
+
+    def settled(self) -> TagSet:
+        """All puts carried out, and told to the callbacks."""
+        done = cut(self.tags())
+        for callback in self.callbacks:
+            callback(done)
+        return replace(self, rows=done)
+
+
+def fused(step: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A step that is its own tag collection (C22): called with tags it runs for each, as often as they are put."""
+    return lambda tags: TagSet(tags).prescribe(step)
 
 
 @dataclass(frozen=True)
@@ -50,6 +101,7 @@ class ItemTable:
     keys: Sequence[str]
     mode: str = "error"
     order: Sequence[str] = field(default_factory=tuple)
+    callbacks: Sequence[Callback] = ()
 
     def put(self, more: DataFrame) -> ItemTable:
         return replace(self, rows=self.rows.unionByName(more))
@@ -88,9 +140,20 @@ class ItemTable:
         """No items, the same schema."""
         return replace(self, rows=self.rows.sparkSession.createDataFrame([], self.rows.schema))
 
+    def scan(self) -> DataFrame:
+        """All items with their keys, in no order."""
+        return self.items()
+
+    def on_put(self, callback: Callback) -> ItemTable:
+        """``callback`` gets the items that were put, one row a key, when they are settled."""
+        return replace(self, callbacks=(*self.callbacks, callback))
+
     def settled(self) -> ItemTable:
-        """All puts carried out."""
-        return replace(self, rows=cut(self.items()), mode="bag")
+        """All puts carried out (C13), and told to the callbacks."""
+        done = cut(self.items())
+        for callback in self.callbacks:
+            callback(done)
+        return replace(self, rows=done, mode="bag")
 
 
 @dataclass

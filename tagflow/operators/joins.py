@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagflow.operators.ranges import in_ranges, same_keys
+from tagflow.storage import cut
 
 
 def cross_product(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -36,6 +37,15 @@ def lookup(steps: DataFrame, items: DataFrame, on: Mapping[str, Column] | Sequen
     return out.drop("_there", *(f"_s_{k}" for k in keys), *(f"_k_{k}" for k in keys))
 
 
+def everywhere(items: DataFrame, limit: int = 8 << 20) -> DataFrame:
+    """``items`` for gets by all steps (C8): written, measured, and sent to every executor if the values have ``limit`` bytes at
+    most; larger ones join by a shuffle."""
+    out = cut(items)
+    size = [F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(16) for c, kind in out.dtypes]
+    total = out.agg(F.coalesce(F.sum(sum(size, F.lit(16))), F.lit(0))).first()[0]
+    return F.broadcast(out) if total <= limit else out
+
+
 def stalled(steps: DataFrame, items: DataFrame, on: Sequence[str]) -> DataFrame:
     """Steps that wait for an item nobody puts (M9)."""
     return steps.join(items, list(on), "left_anti")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +40,39 @@ def reduce_items(
     return out.where(done).select(*key, F.coalesce("value", F.lit(identity)).alias("value"), reduced.alias("n_reduced"))
 
 
+def reduce_with(rows: DataFrame, key: list[str], value: str, op: Callable[[np.ndarray], object], kind: str, salts: int = 32) -> DataFrame:
+    """``value`` of each key reduced by a function of the user's own (U2): associative and commutative, an array to a value.
+
+    Arrow batches are reduced where they are, then what tasks made of a key in ``salts`` groups, then those. Nulls don't
+    take part; a key of nulls alone gives null.
+    """
+    def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf[pdf[value].notna()]
+        out = known.groupby(key, dropna=False, sort=False)[value].agg(lambda s: op(s.to_numpy())).reset_index()
+        left = pdf[key].drop_duplicates().merge(out, on=key, how="left") if len(out) < len(pdf[key].drop_duplicates()) else out
+        return left[[*key, value]].astype({value: object}).where(left[value].notna().to_numpy()[:, None] | np.array([[True] * len(key) + [False]]), None)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield reduced(pdf)
+
+    named = rows.select(*key, value)
+    schema = ", ".join(f"`{n}` {t}" for n, t in named.dtypes[:-1]) + f", `{value}` {kind}"
+    made = named.mapInPandas(partial, schema).withColumn("_salt", F.spark_partition_id() % salts)
+    fewer = made.groupBy(*key, "_salt").applyInPandas(lambda pdf: reduced(pdf[[*key, value]]), schema)
+    return fewer.groupBy(*key).applyInPandas(reduced, schema)
+
+
+def map_reduce(rows: DataFrame, emit: Callable[[DataFrame], DataFrame], combine: Column | Callable[[np.ndarray], object], kind: str = "long") -> DataFrame:
+    """key and value (A5): ``emit`` makes rows of key and value, ``combine`` reduces the values of a key - an aggregate of
+    Spark's over the column ``value``, or a function for ``reduce_with``, whose results are of ``kind``."""
+    pairs = emit(rows).select("key", "value")
+    if isinstance(combine, Column):
+        return pairs.groupBy("key").agg(combine.alias("value"))
+    return reduce_with(pairs, ["key"], "value", combine, kind)
+
+
 def running(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str = "running") -> DataFrame:
     """The prefix sum within each key."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -58,8 +95,11 @@ def running_in_ranges(rows: DataFrame, by: list[str], order: list[str], value: C
 
 
 def reduce_until(rows: DataFrame, by: list[str], order: list[str], value: Column, limit: float) -> DataFrame:
-    """The first row of each key whose running sum exceeds ``limit`` (A7); keys that never do give none."""
-    sums = running(rows, by, order, value)
+    """The first row of each key whose running sum exceeds ``limit`` (A7); keys that never do give none.
+
+    Sums run in ranges and the first row is an aggregate, so a key may hold any share of the rows.
+    """
+    sums = running_in_ranges(rows, by, order, value)
     first = F.min_by(F.struct(*sums.columns), F.struct(*order)).alias("r")
     return sums.where(F.col("running") > limit).groupBy(*by).agg(first).select("r.*")
 

@@ -6,7 +6,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 
 def apply_step(tags: DataFrame, **values: Column) -> DataFrame:
@@ -26,28 +25,22 @@ def generate(tags: DataFrame, first: Column, last: Column, name: str = "i") -> D
     return tags.select("*", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))).alias(name))
 
 
+def split_ranges(ranges: DataFrame, first: str, last: str, grain: int) -> DataFrame:
+    """Tags that are half-open ranges, cut into ranges of ``grain`` at most (C15): other columns stay. Empty ranges give none."""
+    starts = F.sequence(F.col(first), F.col(last) - 1, F.lit(grain).cast("long"))
+    cut = ranges.where(F.col(first) < F.col(last)).withColumn("_start", F.explode(starts))
+    return cut.withColumn(last, F.least(F.col("_start") + grain, F.col(last))).withColumn(first, F.col("_start")).drop("_start")
+
+
 def route(rows: DataFrame, routes: Mapping[str, Column]) -> dict[str, DataFrame]:
     """The rows of each route; a row may take several."""
     return {name: rows.where(cond) for name, cond in routes.items()}
 
 
-@udtf(returnType="pos int, span string")
-class Runs:
-    """Stretches of one character (P5), with their places."""
-
-    def eval(self, s: str):
-        start = 0
-        for i in range(1, len(s or "") + 1):
-            if i == len(s) or s[i] != s[start]:
-                yield start, s[start:i]
-                start = i
-
-
 def runs(rows: DataFrame, text: str) -> DataFrame:
-    """Stretches of one character, with built-in expressions: a place starts a stretch if its character differs from the one before."""
-    n = F.length(text)
-    at = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.substring(F.col(text), i, F.lit(1)) != F.substring(F.col(text), i - 1, F.lit(1))))
-    starts = rows.where(n > 0).withColumn("_at", at)
-    return starts.select("*", F.posexplode("_at").alias("_k", "_start")).withColumn(
-        "_end", F.coalesce(F.get("_at", F.col("_k") + 1), n + 1)
-    ).select(*rows.columns, (F.col("_start") - 1).alias("pos"), F.substring(F.col(text), F.col("_start"), F.col("_end") - F.col("_start")).alias("span"))
+    """Stretches of one character and their places (P5): the text is split into characters once, so the work is linear in its length."""
+    chars, ends = F.col("_chars"), F.coalesce(F.get("_at", F.col("_k") + 1), F.size("_chars"))
+    starts = F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: (i == 0) | (F.get(chars, i) != F.get(chars, i - 1)))
+    split = rows.where(F.length(text) > 0).withColumn("_chars", F.split(text, "")).withColumn("_at", starts)
+    each = split.select("*", F.posexplode("_at").alias("_k", "pos"))
+    return each.select(*rows.columns, "pos", F.repeat(F.get(chars, F.col("pos")), ends - F.col("pos")).alias("span"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagflow.plans import items, lifecycle, recursive, streams, texts
+from tagflow.plans import control, items, lifecycle, recursive, streams, texts
 
-GROUPS = (texts, items, lifecycle, recursive, streams)
+GROUPS = (texts, items, lifecycle, recursive, streams, control)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

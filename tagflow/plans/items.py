@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagflow.algorithms import grids
 from tagflow.model import ItemTable, TagSet
 from tagflow.operators import joins, ranges, reduce, steps
 from tagflow.sources import archive, strided_range, table
@@ -64,11 +65,8 @@ def i1_get(spark: SparkSession, sf: str) -> DataFrame:
 def i3_boundary_get(spark: SparkSession, sf: str) -> DataFrame:
     """The neighbours of each line of an order, the line's own quantity beyond the ends."""
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(money("l_quantity").alias("q"))
-    side = lambda d, p: {"l_orderkey": F.col("l_orderkey"), "l_linenumber": F.col("l_linenumber") + d}
-    items = lines.select("l_orderkey", "l_linenumber", "q")
-    left = joins.lookup(lines.withColumnRenamed("q", "own"), items, side(-1, "w"), "null", "w_")
-    both = joins.lookup(left, items, side(1, "e"), "null", "e_")
-    return both.select("l_orderkey", "l_linenumber", (F.coalesce("w_q", "own") + F.col("own") + F.coalesce("e_q", "own")).alias("total"))
+    near = grids.neighbours(lines, ((0, -1), (0, 1)), ("l_orderkey", "l_linenumber"), "q")
+    return near.select("l_orderkey", "l_linenumber", (grids.boundary(F.col("n0"), F.col("q")) + F.col("q") + grids.boundary(F.col("n1"), F.col("q"))).alias("total"))
 
 
 def i4_unsafe_get(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,7 +202,7 @@ def q7_sort(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q20_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines as chunks: fingerprint, and whether this is the first."""
+    """Lines as chunks: fingerprint, and whether this is the first. Q20_content_dedup cuts by content and compresses."""
     chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("block"), F.posexplode(F.split("text", "\n")).alias("item", "data"))
     out = archive(chunks.select("block", F.col("item").cast("long").alias("item"), "data"), ["block", "item"])
     return out.select("block", "item", "fingerprint", "is_first", F.length("payload").cast("long").alias("payload_chars"))

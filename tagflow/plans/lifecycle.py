@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,11 +46,9 @@ def s9_env_get(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def s12_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    out = None
-    for name in ("customer", "orders", "lineitem"):
-        one = table(spark, sf, name).agg(F.count("*").alias("size")).select(F.lit(name).alias("collection"), "size", (F.col("size") == 0).alias("empty"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    keys = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
+    held = {name: ItemTable(table(spark, sf, name), k, "bag") for name, k in keys.items()}
+    return spark.createDataFrame([(name, t.size(), t.empty()) for name, t in held.items()], "collection string, size long, empty boolean")
 
 
 def s13_reset(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,12 +144,7 @@ def c24_statistics(spark: SparkSession, sf: str) -> DataFrame:
 def u2_own_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     """An aggregate of the user's own over partial sums: the geometric mean of each brand's prices."""
     logs = reduce.reduce_items(table(spark, sf, "part"), {"p_brand": F.col("p_brand")}, F.sum(F.log("p_retailprice")), flush=True)
-
-    @F.pandas_udf("double")
-    def root(total: pd.Series, n: pd.Series) -> pd.Series:
-        return (total / n).map(lambda x: 2.718281828459045**x)
-
-    return logs.select("p_brand", F.round(root("value", "n_reduced"), 4).alias("mean"))
+    return logs.select("p_brand", F.round(F.exp(F.col("value") / F.col("n_reduced")), 4).alias("mean"))
 
 
 def u8_data_source(spark: SparkSession, sf: str) -> DataFrame:

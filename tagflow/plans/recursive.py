@@ -46,12 +46,15 @@ def q8_unbalanced_tree(spark: SparkSession, sf: str) -> DataFrame:
     return t.agg(F.count("*").alias("nodes"), F.sum((F.col("children") == 0).cast("long")).alias("leaves"), F.max("height").cast("long").alias("deepest"))
 
 
-def q9_shortest_path(spark: SparkSession, sf: str) -> DataFrame:
+def roads(spark: SparkSession, sf: str) -> DataFrame:
     """A road from each nation to the next two by number and to the one of thrice its number."""
     n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
     to = F.explode(F.array(*(F.struct(j.alias("j"), d.alias("d")) for j, d in (((F.col("i") + 1) % 25, F.col("i") % 3 + 4), ((F.col("i") + 2) % 25, F.col("i") % 5 + 9), ((F.col("i") * 3) % 25, F.col("i") % 7 + 2)))))
-    edges = n.select("i", to.alias("t")).select("i", "t.j", F.col("t.d").cast("double").alias("d")).where("i <> j")
-    return recursion.shortest_paths(edges)
+    return n.select("i", to.alias("t")).select("i", "t.j", F.col("t.d").cast("double").alias("d")).where("i <> j")
+
+
+def q9_shortest_path(spark: SparkSession, sf: str) -> DataFrame:
+    return recursion.shortest_paths(roads(spark, sf))
 
 
 def q12_matmul(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tagflow.storage import fresh
+from tagflow.storage import cut, fresh
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +31,12 @@ def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of text files; Spark splits the files."""
-    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    """The lines of text files with their file and block, the place in bytes where it begins.
+
+    Spark splits the files into blocks of spark.sql.files.maxPartitionBytes at most; a line that crosses their border is
+    whole and belongs to the block that it begins in.
+    """
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"))
 
 
 def blocks(spark: SparkSession, path: str, size: int = 2 << 20) -> DataFrame:
@@ -59,6 +63,37 @@ def write_jdbc(items: DataFrame, url: str, name: str, mode: str = "append", **op
     items.write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()
 
 
+class SqlItems:
+    """An item collection kept in a SQL table, put through and read on demand (S8). Keys are the table's business to check."""
+
+    def __init__(self, spark: SparkSession, url: str, name: str, keys: list[str], **options: str):
+        self.spark, self.url, self.name, self.keys, self.options = spark, url, name, keys, options
+
+    def items(self) -> DataFrame:
+        return jdbc_items(self.spark, self.url, self.name, **self.options)
+
+    def put(self, items: DataFrame) -> None:
+        write_jdbc(items, self.url, self.name, **self.options)
+
+    def get(self, *key):
+        """One item by its key; the database looks for it. A missing one is a KeyError."""
+        cond = F.lit(True)
+        for name, value in zip(self.keys, key, strict=True):
+            cond = cond & (F.col(name) == F.lit(value))
+        row = self.items().where(cond).first()
+        if row is None:
+            raise KeyError(key)
+        return row
+
+    def erase(self, keys: DataFrame) -> None:
+        """Drops the items of these keys: the others are kept aside, then put anew."""
+        rest = cut(self.items().join(keys.select(*self.keys).distinct(), self.keys, "left_anti"))
+        write_jdbc(rest, self.url, self.name, "overwrite", truncate="true", **self.options)
+
+    def clear(self) -> None:
+        write_jdbc(self.items().limit(0), self.url, self.name, "overwrite", truncate="true", **self.options)
+
+
 def stored_items(items: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Items written through to a Parquet table and read from it: the table form of S8."""
     items.write.mode(mode).parquet(path)
@@ -106,12 +141,17 @@ def content_chunks(blocks: DataFrame, block: str = "block", data: str = "data")
 def archive(chunks: DataFrame, order: list[str], data: str = "data") -> DataFrame:
     """Each chunk in order with its fingerprint; the first of equal ones carries the data, which ``deflated`` compresses.
 
-    First occurrences are found by an aggregate, so a chunk that occurs everywhere is no single task's load.
+    First occurrences are found by an aggregate that carries their data, so equal chunks meet combined; of the others
+    only places and fingerprints travel. ``order`` names each chunk.
     """
-    marked = chunks.withColumn("fingerprint", F.sha1(data))
-    first = marked.groupBy("fingerprint").agg(F.min(F.struct(*order)).alias("_first"))
-    out = marked.join(first, "fingerprint").withColumn("is_first", F.struct(*order) == F.col("_first"))
-    return out.select(*order, "fingerprint", "is_first", F.when(F.col("is_first"), F.col(data)).alias("payload"))
+    marked = chunks.withColumn("_fingerprint", F.sha1(data))
+    place = F.struct(*order)
+    first = marked.groupBy("_fingerprint").agg(F.min(place).alias("_first"), F.min_by(data, place).alias("payload"))
+    first = first.select(*(F.col(f"_first.{c}").alias(c) for c in order), F.col("_fingerprint").alias("fingerprint"), F.lit(True).alias("is_first"), "payload")
+    taken = first.select(*(F.col(c).alias(f"_f_{c}") for c in order))
+    others = marked.join(taken, [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in order], "left_anti")
+    nothing = F.lit(None).cast(first.schema["payload"].dataType)
+    return first.unionByName(others.select(*order, F.col("_fingerprint").alias("fingerprint"), F.lit(False).alias("is_first"), nothing.alias("payload")))
 
 
 def deflated(rows: DataFrame, column: str = "payload") -> DataFrame:

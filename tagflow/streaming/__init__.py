@@ -6,7 +6,7 @@ reads the result back.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tagflow.storage import fresh
 
 
+#: Keys that one side of a cross product is dealt over.
+SALTS = 16
+
+
 def stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """Files at ``path`` as a stream, with the columns of ``like``. The path may be one file: as a pattern Spark takes it."""
     return spark.readStream.schema(like.schema).parquet(f"{path[:-1]}[{path[-1]}]")
@@ -38,9 +42,13 @@ def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def cross(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The incremental cross product of two streams (K2). State grows with the input, as the operator demands."""
-    left, right = a.withColumn("_one", F.lit(0)), b.withColumn("_one", F.lit(0))
-    return left.join(right, "_one").drop("_one")
+    """The incremental cross product of two streams (K2). State grows with the input, as the operator demands.
+
+    The rows of ``a`` are dealt over SALTS keys and those of ``b`` go to each, so no task holds all of either pair.
+    """
+    left = a.withColumn("_salt", F.pmod(F.xxhash64(*a.columns), F.lit(SALTS)).cast("int"))
+    right = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, "_salt").drop("_salt")
 
 
 def memoized(tags: DataFrame, *keys: str) -> DataFrame:
@@ -53,6 +61,8 @@ def counted_sum(items: DataFrame, counts: DataFrame, key: str, value: str) -> Da
 
     items (key, value) and counts (key, n) may arrive in any order. State, one row a key, is Spark's own aggregate's, so
     partial sums are combined before the shuffle; items behind the emission are folded, never emitted.
+    Completion is tested when a batch ends: a key that more items than its count reach within one batch does not come
+    out, since nothing says which of them would be the first.
     """
     both = items.select(F.col(key).alias("key"), F.col(value).cast("double").alias("value"), F.lit(None).cast("long").alias("n")).unionByName(
         counts.select(F.col(key).alias("key"), F.lit(None).cast("double").alias("value"), F.col("n").cast("long").alias("n"))
@@ -103,13 +113,12 @@ def latest(rows: DataFrame, key: str, order: str, kind: str, value: str, kinds:
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = list(state.get) if state.exists else [0.0] * len(kinds)
         rows = pd.concat(list(frames)).sort_values("order", kind="stable")
-        out = []
-        for o, c, v in zip(rows["order"], rows["kind"], rows["value"], strict=True):
-            if c in kinds and v == v:
-                last[kinds.index(c)] = float(v)
-            out.append((k[0], o, *last))
+        out = rows[["key", "order"]].copy()
+        for n, (name, c) in enumerate(zip(names, kinds, strict=True)):
+            out[name] = rows["value"].where(rows["kind"] == c).ffill().fillna(last[n])
+            last[n] = float(out[name].iloc[-1])
         state.update(tuple(last))
-        yield pd.DataFrame(out, columns=["key", "order", *names])
+        yield out
 
     names = [f"last_{c}" for c in kinds]
     fields = ", ".join(f"`{n}` double" for n in names)
@@ -117,6 +126,12 @@ def latest(rows: DataFrame, key: str, order: str, kind: str, value: str, kinds:
     return named.groupBy("key").applyInPandasWithState(fold, f"key long, order long, {fields}", fields, "append", GroupStateTimeout.NoTimeout)
 
 
+def on_put(rows: DataFrame, callback: Callable[[DataFrame], None]) -> None:
+    """``callback`` gets what arrives, batch by batch, until all that is there now has come (I8): memoize before for once each."""
+    state = fresh(rows.sparkSession, "stream-state")
+    rows.writeStream.foreachBatch(lambda batch, _: callback(batch)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
 def total_by(rows: DataFrame, key: str, value: str) -> DataFrame:
     """A keyed sum that is emitted anew with every batch: read it in complete mode (K3 without counts)."""
     return rows.groupBy(key).agg(F.sum(F.col(value)).alias("value"), F.count("*").alias("n_reduced"))

@@ -33,5 +33,9 @@ def test_query_agrees_with_sql(spark, sf_dir, db, name):
     assert sorted(tuple(plain(r[c]) for c in sorted(names)) for r in df.collect()) == expected
 
 
-def test_every_sql_belongs_to_a_query():
-    assert set(SQL) == set(QUERIES)
+#: What SQL cannot express, and the test that holds it against brute force.
+OTHERWISE = {"Q20_content_dedup": "test_chunks.py"}
+
+
+def test_every_query_has_sql_or_a_test_of_its_own():
+    assert set(SQL) | set(OTHERWISE) == set(QUERIES) and not set(SQL) & set(OTHERWISE)
