@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tagflow.operators.ranges import in_ranges, same_keys
 
@@ -44,24 +46,27 @@ def reduce_with(rows: DataFrame, key: list[str], value: str, op: Callable[[np.nd
     """``value`` of each key reduced by a function of the user's own (U2): associative and commutative, an array to a value.
 
     Arrow batches are reduced where they are, then what tasks made of a key in ``salts`` groups, then those. Nulls don't
-    take part; a key of nulls alone gives null.
+    take part, and a key of nulls alone does not come out.
     """
-    def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf[pdf[value].notna()]
-        out = known.groupby(key, dropna=False, sort=False)[value].agg(lambda s: op(s.to_numpy())).reset_index()
-        left = pdf[key].drop_duplicates().merge(out, on=key, how="left") if len(out) < len(pdf[key].drop_duplicates()) else out
-        return left[[*key, value]].astype({value: object}).where(left[value].notna().to_numpy()[:, None] | np.array([[True] * len(key) + [False]]), None)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield reduced(pdf)
-
-    named = rows.select(*key, value)
-    schema = ", ".join(f"`{n}` {t}" for n, t in named.dtypes[:-1]) + f", `{value}` {kind}"
-    made = named.mapInPandas(partial, schema).withColumn("_salt", F.spark_partition_id() % salts)
-    fewer = made.groupBy(*key, "_salt").applyInPandas(lambda pdf: reduced(pdf[[*key, value]]), schema)
-    return fewer.groupBy(*key).applyInPandas(reduced, schema)
+    named = rows.where(F.col(value).isNotNull()).select(*key, value)
+    schema = T.StructType([*named.schema.fields[:-1], T.StructField(value, T._parse_datatype_string(kind))])
+    made = to_arrow_schema(schema)
+
+    def reduced(t: pa.Table) -> pa.Table:
+        groups = t.group_by(key, use_threads=False).aggregate([(value, "list")])
+        lists = groups[f"{value}_list"].combine_chunks()
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.asarray(lists.value_lengths()))
+        out = pa.array([op(flat[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)], made.field(value).type)
+        return pa.table([*(groups[k] for k in key), out], schema=made)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield from reduced(pa.Table.from_batches([b])).to_batches()
+
+    few = named.mapInArrow(partial, schema).withColumn("_salt", F.spark_partition_id() % salts)
+    fewer = few.groupBy(*key, "_salt").applyInArrow(lambda t: reduced(t.select([*key, value])), schema)
+    return fewer.groupBy(*key).applyInArrow(reduced, schema)
 
 
 def map_reduce(rows: DataFrame, emit: Callable[[DataFrame], DataFrame], combine: Column | Callable[[np.ndarray], object], kind: str = "long") -> DataFrame:

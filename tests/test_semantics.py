@@ -8,8 +8,9 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tagflow import functions, sources, streaming
+from tagflow import functions, sources, storage, streaming
 from tagflow.algorithms import grids, recursion, tiles
+from tagflow.graphs import SubGraph
 from tagflow.model import Graph, ItemTable, TagSet, canonical
 from tagflow.operators import joins, ranges, reduce, steps
 from tagflow.operators.iterate import frontier, loop
@@ -201,6 +202,80 @@ def test_sql_table(spark):
     assert rows(sources.jdbc_items(spark, url, "ITEMS", driver="org.apache.derby.jdbc.EmbeddedDriver"), "K") == [(1, "a"), (2, "b")]
 
 
+def test_sql_table_verbs(spark):
+    t = sources.SqlItems(spark, "jdbc:derby:memory:verbs;create=true", "VERBS", ["K"], driver="org.apache.derby.jdbc.EmbeddedDriver")
+    t.put(frame(spark, [(1, "a"), (2, "b")], "K int, V string"))
+    t.put(frame(spark, [(3, "c")], "K int, V string"))
+    assert t.get(2)["V"] == "b"
+    t.erase(frame(spark, [(2,), (9,)], "K int"))
+    assert rows(t.items(), "K") == [(1, "a"), (3, "c")]
+    with pytest.raises(KeyError):
+        t.get(2)
+    t.clear()
+    assert t.items().count() == 0
+
+
+def test_lines_that_cross_blocks_are_whole(spark, tmp_path):
+    lines = [f"{k} " + "x" * (k % 97) for k in range(5000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = sources.text_files(spark, f"{tmp_path}/a.txt")
+        assert sorted(r["text"] for r in got.collect()) == sorted(lines)
+        assert got.select("block").distinct().count() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_a_users_reduction(spark):
+    """A hot key, nulls, a key of nulls alone, a null key, and an empty table."""
+    data = [(2**60 + 1, 3), (2**60 + 1, 6)] + [(1, 6 * k) for k in range(1, 3000)] + [(2, None), (2, 9), (3, None), (None, 10), (None, 4)]
+    df = frame(spark, data, "k long, v long").repartition(7)
+    gcd = {r["k"]: r["v"] for r in reduce.reduce_with(df, ["k"], "v", np.gcd.reduce, "long").collect()}
+    assert gcd == {1: 6, 2: 9, None: 2, 2**60 + 1: 3}
+    assert reduce.reduce_with(df.limit(0), ["k"], "v", np.gcd.reduce, "long").count() == 0
+    assert {r["key"]: r["value"] for r in reduce.map_reduce(df, lambda d: d.select(F.col("k").alias("key"), F.col("v").alias("value")), F.sum("value")).collect()}[2] == 9
+
+
+def test_graphs_check_what_they_read_and_give(spark):
+    class Doubled(SubGraph):
+        inputs, outputs = {"tags": ("tag",)}, ("out",)
+
+        def build(self, tags):
+            return {"out": tags.select((F.col("tag") * 2).alias("out"))}
+
+    assert rows(Doubled()(tags=frame(spark, [(3,)], "tag int"))["out"], "out") == [(6,)]
+    with pytest.raises(ValueError, match="reads tags"):
+        Doubled()()
+    with pytest.raises(ValueError, match="has no"):
+        Doubled()(tags=frame(spark, [(3,)], "other int"))
+
+
+def test_cancelled_tags_with_nulls_do_not_run(spark):
+    tags = TagSet(frame(spark, [(1,), (None,), (2,)], "t int")).cancel(frame(spark, [(None,), (2,)], "t int"))
+    assert rows(tags.prescribe(lambda t: t), "t") == [(1,)]
+    assert tags.tags().count() == 3 and tags.cancel_all().prescribe(lambda t: t).count() == 0 and tags.uncancel().prescribe(lambda t: t).count() == 3
+
+
+def test_split_ranges_cover_each_range_once(spark):
+    df = frame(spark, [(1, 0, 10), (2, 5, 5), (3, 7, 8), (4, 0, 9)], "id int, a long, b long")
+    assert rows(steps.split_ranges(df, "a", "b", 3), "id", "a") == [(1, 0, 3), (1, 3, 6), (1, 6, 9), (1, 9, 10), (3, 7, 8), (4, 0, 3), (4, 3, 6), (4, 6, 9)]
+
+
+def test_loops_remove_the_tables_they_no_longer_read(spark, tmp_path):
+    was = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        first = storage.cut(spark.range(3))
+        second = storage.cut(first.select((F.col("id") + 1).alias("id")), replacing=first)
+        assert rows(second, "id") == [(1,), (2,), (3,)] and len(list(tmp_path.glob("*/table-*"))) == 1
+        storage.clear(spark)
+        assert not list(tmp_path.glob("*/*"))
+    finally:
+        spark.conf.set("spark.checkpoint.dir", was) if was else spark.conf.unset("spark.checkpoint.dir")
+
+
 def test_archive_keeps_the_first_of_equal_chunks(spark):
     chunks = frame(spark, [(0, 0, "x" * 100), (0, 1, "y"), (1, 0, "x" * 100), (1, 1, None)], "block long, item long, data string")
     out = sources.deflated(sources.archive(chunks.where("data IS NOT NULL"), ["block", "item"])).orderBy("block", "item").collect()
