@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagflow.llm.common import for_salts, salted, salts_of, slices, written
+from tagflow.llm.common import for_salts, returning_memory, salted, salts_of, slices, written
 from tagflow.llm.tokens import ColumnBPE, added_tokens, column_bpe, decoder, token_sizes
 
 #: Rolling window, least chunk and the hash bits that must be zero at a cut (chunks of about 2**CUT_BITS bytes more).
@@ -117,7 +117,7 @@ def chunk_table(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(hashes, pa.binary()))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), lists], names=["th", "hashes"])
 
-    return docs.select("text").mapInArrow(run, "th binary, hashes array<binary>")
+    return docs.select("text").mapInArrow(lambda it: returning_memory(run(it)), "th binary, hashes array<binary>")
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
 
     # Not null, so that both joins see the same rows and share one shuffle.
     schema = T.StructType([docs.schema["key"], *(T.StructField(n, T.BinaryType(), False) for n in ("th", "z"))])
-    return docs.select("key", "text").mapInArrow(run, schema)
+    return docs.select("key", "text").mapInArrow(lambda it: returning_memory(run(it)), schema)
 
 
 def opened(batches: Iterator[pa.RecordBatch], limit: int = OPENED_BYTES) -> Iterator[pa.RecordBatch]:
@@ -292,7 +292,7 @@ def encoded_chunks(first: DataFrame, path: str) -> DataFrame:
             raw = [ids[x:y].tobytes() for x, y in zip(offs, offs[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(raw, pa.binary())], names=["hash", "ids"])
 
-    return first.select("key", "th", "z", "wanted").mapInArrow(run, "hash binary, ids binary")
+    return first.select("key", "th", "z", "wanted").mapInArrow(lambda it: returning_memory(run(it)), "hash binary, ids binary")
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
@@ -318,7 +318,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     meet = salted(each, hot_chunks, "hash", F.xxhash64("th", "seq")).join(chunk_ids, ["hash", "salt"])
     parts = for_salts(meet.groupBy("th").agg(F.collect_list(F.struct("seq", "ids")).alias("parts")), hot_texts, "th")
     whole = docs.join(parts, ["th", "salt"], "left").select("key", "th", "z", "parts")
-    return whole.mapInArrow(lambda it: assembled(it, path, decode), f"key {kind}, ids binary" + ", text string" * decode).withColumnRenamed("key", key)
+    return whole.mapInArrow(lambda it: returning_memory(assembled(it, path, decode)), f"key {kind}, ids binary" + ", text string" * decode).withColumnRenamed("key", key)
 
 
 def decode(coded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:

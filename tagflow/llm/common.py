@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -81,6 +83,15 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             begin = end
 
 
+def returning_memory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; what the worker has allocated and freed goes back to the system behind the last one, since workers
+    stay while tasks without Python use the same executor."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ordered(df: DataFrame, *order: str) -> tuple[DataFrame, dict[int, int]]:
     """``df`` in the order of ``order`` over all rows, written, with ``_part`` and ``_row`` (place in that part), and
     the number of rows before each part. ``order`` must leave only equal rows in a tie. Rows are dealt by ranges that

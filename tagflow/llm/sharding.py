@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagflow.llm.common import before_part, ordered, written
+from tagflow.llm.common import before_part, ordered, spread_join, written
 
 #: Sizes are exact below 2**CLASS_BITS and kept to that many bits above, rounded up: at most 50 * 2**13 classes.
 CLASS_BITS = 14
@@ -180,7 +180,7 @@ def shard_by_size(docs: DataFrame, shards: int = 24, key: str = "doc_id", text:
     body = F.coalesce(F.col(text), F.lit(""))
     rows = written(docs.select(
         F.col(key).alias("key"), (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.sha2(body, 256).alias("group")))
-    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes")).withColumn("class", size_class("bytes")).select((-F.col("class")).alias("order"), "group")
+    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).withColumn("class", size_class("bytes")).select((-F.col("class")).alias("order"), "group", "n")
     groups, before = ordered(groups, "order", "group")
     sizes = [(-o, n) for o, n in groups.groupBy("order").count().collect()]  # bounded by CLASS_BITS
     runs, _ = plan(sizes, shards)
@@ -193,7 +193,7 @@ def shard_by_size(docs: DataFrame, shards: int = 24, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([b.column("group"), pa.array(bins[np.searchsorted(ends, rank, side="right")])], names=["group", "shard"])
 
     placed = groups.select("group", "_part", "_row").mapInArrow(to_bins, "group string, shard int")
-    rows, before = ordered(rows.join(placed, "group").select("shard", "key", "text_crc32", "size", "group"), "shard", "key", "group", "size")
+    rows, before = ordered(spread_join(rows, placed, "group", groups.select("group", "n"), rows.count()).select("shard", "key", "text_crc32", "size", "group"), "shard", "key", "group", "size")
     counts = dict(map(tuple, rows.groupBy("shard").count().collect()))
     begin = np.zeros(max(shards, 1) + 1, np.int64)
     for s in range(shards):
