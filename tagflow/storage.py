@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,11 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = local_dir(spark.sparkContext.applicationId)
     return path.rstrip("/")
 
 
+@cache
+def local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"spark-{application}-")
+
+
 def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tagflow-{spark.sparkContext.applicationId}"
 

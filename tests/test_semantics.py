@@ -263,17 +263,27 @@ def test_split_ranges_cover_each_range_once(spark):
     assert rows(steps.split_ranges(df, "a", "b", 3), "id", "a") == [(1, 0, 3), (1, 3, 6), (1, 6, 9), (1, 9, 10), (3, 7, 8), (4, 0, 3), (4, 3, 6), (4, 6, 9)]
 
 
-def test_loops_remove_the_tables_they_no_longer_read(spark, tmp_path):
-    was = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        first = storage.cut(spark.range(3))
-        second = storage.cut(first.select((F.col("id") + 1).alias("id")), replacing=first)
-        assert rows(second, "id") == [(1,), (2,), (3,)] and len(list(tmp_path.glob("*/table-*"))) == 1
-        storage.clear(spark)
-        assert not list(tmp_path.glob("*/*"))
-    finally:
-        spark.conf.set("spark.checkpoint.dir", was) if was else spark.conf.unset("spark.checkpoint.dir")
+def test_loops_remove_the_tables_they_no_longer_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: str(tmp_path))
+    first = storage.cut(spark.range(3))
+    second = storage.cut(first.select((F.col("id") + 1).alias("id")), replacing=first)
+    assert rows(second, "id") == [(1,), (2,), (3,)] and len(list(tmp_path.glob("*/table-*"))) == 1
+    storage.clear(spark)
+    assert not list(tmp_path.glob("*/*"))
+
+
+def test_no_folder_of_our_own_on_a_cluster(monkeypatch):
+    class Unset:
+        def __init__(self, master):
+            self.conf, self.sparkContext = self, self
+            self.master, self.applicationId = master, f"app-{master}"
+
+        def get(self, name, default):
+            return default
+
+    assert storage.shared_dir(Unset("local[2]")) == storage.shared_dir(Unset("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Unset("spark://somewhere"))
 
 
 def test_archive_keeps_the_first_of_equal_chunks(spark):
