@@ -33,6 +33,12 @@ def mandelbrot(spark: SparkSession, rows: int, cols: int, depth: int) -> DataFra
     return cells.repartition("i").select("i", "j", count(F.col("j") * (4.0 / rows) - 2.0, F.col("i") * (4.0 / cols) - 2.0).alias("count"))
 
 
+def mandelbrot_rows(spark: SparkSession, rows: int, cols: int, depth: int) -> DataFrame:
+    """i and counts, an array a row (Q3 by row vectors): a tag is a whole row."""
+    cells = mandelbrot(spark, rows, cols, depth)
+    return cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "count"))), lambda c: c["count"]).alias("counts"))
+
+
 def checksum(pixels: DataFrame, cols: int, depth: int) -> DataFrame:
     """The sum of the places of points that never left."""
     return pixels.agg(F.sum(F.when(F.col("count") == depth, F.col("i") * cols + F.col("j")).otherwise(0)).alias("checksum"))

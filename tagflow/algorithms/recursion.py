@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagflow.operators.iterate import frontier
+from tagflow.operators.steps import split_ranges
 
 
 def fibonacci(spark: SparkSession, n: int) -> DataFrame:
@@ -27,6 +28,32 @@ def primes(spark: SparkSession, n: int) -> DataFrame:
     return odd.unionByName(spark.range(2, min(3, n + 1)).withColumnRenamed("id", "prime"))
 
 
+def fibonacci_by_tags(spark: SparkSession, n: int) -> DataFrame:
+    """fib(n) as steps that control their own tags (Q1): tag k puts k - 1 and k - 2, memoized so that each runs once; a
+    get of an item is a join that waits for it, so items come level by level from the leaves."""
+    from tagflow.storage import cut
+
+    start = spark.range(n, n + 1).withColumnRenamed("id", "tag")
+    tags = cut(frontier(start, lambda level: level.where("tag > 1").select(F.explode(F.array(F.col("tag") - 1, F.col("tag") - 2)).alias("tag")).distinct()).distinct())
+    items = cut(tags.where("tag < 2").select("tag", F.col("tag").cast("decimal(38,0)").alias("fib")))
+    while True:
+        waiting = tags.join(items, "tag", "left_anti")
+        one, two = items.select((F.col("tag") + 1).alias("tag"), F.col("fib").alias("x")), items.select((F.col("tag") + 2).alias("tag"), F.col("fib").alias("y"))
+        made = cut(waiting.join(one, "tag").join(two, "tag").select("tag", (F.col("x") + F.col("y")).cast("decimal(38,0)").alias("fib")))
+        if made.isEmpty():
+            return items
+        items = cut(items.unionByName(made), replacing=items)
+
+
+def primes_by_ranges(spark: SparkSession, n: int, grain: int = 4096) -> DataFrame:
+    """Primes up to ``n`` from range tags (Q2): each piece of odd numbers is tried against the factors up to the root."""
+    pieces = split_ranges(spark.createDataFrame([(1, (n + 1) // 2)], "first long, last long"), "first", "last", grain)
+    odd = pieces.select(F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("k")).select((2 * F.col("k") + 1).alias("prime"))
+    factors = F.sequence(F.lit(3).cast("long"), F.greatest(F.lit(3).cast("long"), F.floor(F.sqrt(F.lit(float(n)))).cast("long")), F.lit(2).cast("long"))
+    kept = odd.where(F.forall(factors, lambda f: (f * f > F.col("prime")) | (F.col("prime") % f != 0)))
+    return kept.unionByName(spark.range(2, min(3, n + 1)).withColumnRenamed("id", "prime"))
+
+
 def queens(spark: SparkSession, n: int) -> DataFrame:
     """Placements of n queens, a level a row (Q4): cols, left and right are bit sets of attacked columns."""
     start = spark.createDataFrame([(0, 0, 0, 0)], "row int, cols long, left long, right long")

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagflow.storage import cut
+from tagflow.storage import cut, remove
 
 
 Callback = Callable[[DataFrame], None]
@@ -155,6 +155,12 @@ class ItemTable:
             callback(done)
         return replace(self, rows=done, mode="bag")
 
+    def free(self) -> ItemTable:
+        """A settled collection without its stored items (C4): for items whose declared gets have all been made."""
+        if "cut_path" in vars(self.rows):
+            remove(self.rows.sparkSession, self.rows.cut_path)
+        return self.reset()
+
 
 @dataclass
 class Graph:

@@ -218,6 +218,37 @@ def q4_ten(spark: SparkSession, sf: str) -> DataFrame:
     return recursion.queens(spark, 10).agg(F.count("*").alias("solutions"))
 
 
+def q1_by_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return recursion.fibonacci_by_tags(spark, 23).select("tag", F.col("fib").cast("long").alias("fib"))
+
+
+def q2_by_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    return recursion.primes_by_ranges(spark, 100_000)
+
+
+def q3_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same sum from rows of counts."""
+    rows = grids.mandelbrot_rows(spark, 100, 100, 10_000).select("i", F.posexplode("counts").alias("j", "count"))
+    return grids.checksum(rows, 100, 10_000)
+
+
+def c4_freed(spark: SparkSession, sf: str) -> DataFrame:
+    """Items are stored, got as often as declared, and freed: what was got, and what is left."""
+    items = ItemTable(table(spark, sf, "nation").select("n_nationkey", F.lit(1).cast("long").alias("n")), ["n_nationkey"]).settled()
+    gets = table(spark, sf, "nation").select("n_nationkey")
+    over = reduce.fanout_audit(gets, items.items(), "n_nationkey").count()
+    got = joins.lookup(gets, items.items(), ["n_nationkey"]).count()
+    left = items.free()
+    return spark.createDataFrame([(got, over, left.size())], "got long, differing long, remaining long")
+
+
+def q28_range_depends(spark: SparkSession, sf: str) -> DataFrame:
+    """A range of tags whose steps wait for the items of a chain: item t comes from item t - 1, put behind the gets."""
+    chain = reduce.running_in_ranges(strided_range(spark, 0, 1000, name="t").withColumn("one", F.lit(0)), ["one"], ["t"], F.lit(2), "item")
+    waiting = strided_range(spark, 0, 1000, 10, name="t")
+    return joins.lookup(waiting, chain.select((F.col("t")).alias("k"), "item"), {"k": F.col("t")}).select("t", "item")
+
+
 def s6_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Text files in blocks with their number; no line is lost or met twice at a border."""
     path = sources.scratch(spark, "text")
@@ -232,7 +263,7 @@ QUERIES = {
     "C2_describe": c2_describe, "C13_settled": c13_settled, "U7_own_equality": u7_own_equality, "J1_duplicates": j1_duplicates, "C8_everywhere": c8_everywhere, "C15_range_tags": c15_range_tags,
     "C21_contexts": c21_contexts, "C22_fused": c22_fused, "C23_trace": c23_trace, "C25_timer": c25_timer, "U4_generic_graph": u4_generic_graph, "U5_hidden_graph": u5_hidden_graph,
     "A5_map_reduce": a5_map_reduce, "U2_own_reduce": u2_own_reduce, "Q20_content_dedup": q20_content_dedup, "Q9_tiled": q9_tiled, "Q15_heat": q15_heat, "Q18_star": q18_star, "Q4_ten": q4_ten,
-    "S6_numbered_blocks": s6_blocks,
+    "S6_numbered_blocks": s6_blocks, "Q1_fib_tags": q1_by_tags, "Q2_primes_ranges": q2_by_ranges, "Q3_mandelbrot_rows": q3_rows, "C4_freed": c4_freed, "Q28_range_depends": q28_range_depends,
 }
 
 HEAT = """SELECT x, CASE WHEN lag(u) OVER w IS NULL OR lag(x) OVER w <> x - 1 OR lead(u) OVER w IS NULL OR lead(x) OVER w <> x + 1 THEN u
@@ -283,6 +314,11 @@ SQL = {
           SELECT r + 1, a | (1::BIGINT << k), (b | (1::BIGINT << k)) << 1, (c | (1::BIGINT << k)) >> 1 FROM q, range(10) x(k)
           WHERE r < 10 AND ((a | b | c) >> k) & 1 = 0)
         SELECT count(*) AS solutions FROM q WHERE r = 10""",
+    "Q1_fib_tags": "WITH RECURSIVE f(i, a, b) AS (SELECT 0::BIGINT, 0::BIGINT, 1::BIGINT UNION ALL SELECT i + 1, b, a + b FROM f WHERE i < 23) SELECT i AS tag, a AS fib FROM f",
+    "Q2_primes_ranges": recursive.SQL["Q2_primes"],
+    "Q3_mandelbrot_rows": recursive.SQL["Q3_mandelbrot"],
+    "C4_freed": "SELECT count(*) AS got, 0::BIGINT AS differing, 0::BIGINT AS remaining FROM nation",
+    "Q28_range_depends": "SELECT t, (t + 1) * 2 AS item FROM range(0, 1000, 10) r(t)",
     "Q9_tiled": recursive.SQL["Q9_shortest_path"],
     "S6_numbered_blocks": "SELECT count(*) AS lines, sum(doc_id)::BIGINT AS ids FROM documents",
 }
