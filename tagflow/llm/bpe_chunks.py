@@ -33,7 +33,7 @@ from tagflow.llm.tokens import ColumnBPE, added_tokens, column_bpe, decoder, tok
 #: Rolling window, least chunk and the hash bits that must be zero at a cut (chunks of about 2**CUT_BITS bytes more).
 ROLL, LEAST_CHUNK, CUT_BITS = 32, 128, 9
 #: Bytes of text that a task joins at a time; a longer text is by itself.
-OPENED_BYTES = 6 << 20
+OPENED_BYTES = 2 << 20
 
 # White space, as bytes of ASCII and as the UTF-8 of the characters beyond.
 WHITE_BYTES = b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
