@@ -249,6 +249,25 @@ def q28_range_depends(spark: SparkSession, sf: str) -> DataFrame:
     return joins.lookup(waiting, chain.select((F.col("t")).alias("k"), "item"), {"k": F.col("t")}).select("t", "item")
 
 
+SPEC = """
+    <size_t pairs>;                       // a declaration
+    env -> <sizes>, [grid],
+           [weights: row];                // over two lines
+    <sizes> :: (split), (count); [grid], [weights: row] -> (split) -> <pairs>;
+    <pairs> :: (relax);
+    [grid], [weights: row] -> (relax) -> [grid], [changes: row, col];
+    [changes] -> (count) -> [total]; [total] -> env;
+"""
+
+
+def s16_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """A graph with lists, an environment, tag functions and several statements a line; how many edges each pair has."""
+    edges = sources.graph_edges(SPEC)
+    faults = spark.createDataFrame([(len(sources.graph_faults(edges)),)], "faults long")
+    counted = spark.createDataFrame(edges, "source string, kind string, target string").groupBy("source", "kind", "target").agg(F.count("*").alias("n"))
+    return counted.crossJoin(F.broadcast(faults))
+
+
 def s6_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Text files in blocks with their number; no line is lost or met twice at a border."""
     path = sources.scratch(spark, "text")
@@ -263,7 +282,7 @@ QUERIES = {
     "C2_describe": c2_describe, "C13_settled": c13_settled, "U7_own_equality": u7_own_equality, "J1_duplicates": j1_duplicates, "C8_everywhere": c8_everywhere, "C15_range_tags": c15_range_tags,
     "C21_contexts": c21_contexts, "C22_fused": c22_fused, "C23_trace": c23_trace, "C25_timer": c25_timer, "U4_generic_graph": u4_generic_graph, "U5_hidden_graph": u5_hidden_graph,
     "A5_map_reduce": a5_map_reduce, "U2_own_reduce": u2_own_reduce, "Q20_content_dedup": q20_content_dedup, "Q9_tiled": q9_tiled, "Q15_heat": q15_heat, "Q18_star": q18_star, "Q4_ten": q4_ten,
-    "S6_numbered_blocks": s6_blocks, "Q1_fib_tags": q1_by_tags, "Q2_primes_ranges": q2_by_ranges, "Q3_mandelbrot_rows": q3_rows, "C4_freed": c4_freed, "Q28_range_depends": q28_range_depends,
+    "S6_numbered_blocks": s6_blocks, "Q1_fib_tags": q1_by_tags, "Q2_primes_ranges": q2_by_ranges, "Q3_mandelbrot_rows": q3_rows, "C4_freed": c4_freed, "S16_graph_lists": s16_lists, "Q28_range_depends": q28_range_depends,
 }
 
 HEAT = """SELECT x, CASE WHEN lag(u) OVER w IS NULL OR lag(x) OVER w <> x - 1 OR lead(u) OVER w IS NULL OR lead(x) OVER w <> x + 1 THEN u
@@ -317,6 +336,9 @@ SQL = {
     "Q1_fib_tags": "WITH RECURSIVE f(i, a, b) AS (SELECT 0::BIGINT, 0::BIGINT, 1::BIGINT UNION ALL SELECT i + 1, b, a + b FROM f WHERE i < 23) SELECT i AS tag, a AS fib FROM f",
     "Q2_primes_ranges": recursive.SQL["Q2_primes"],
     "Q3_mandelbrot_rows": recursive.SQL["Q3_mandelbrot"],
+    "S16_graph_lists": """SELECT *, 1::BIGINT AS n, 0::BIGINT AS faults FROM (VALUES ('env', '->', '<sizes>'), ('env', '->', '[grid]'), ('env', '->', '[weights]'), ('<sizes>', '::', '(split)'),
+        ('<sizes>', '::', '(count)'), ('[grid]', '->', '(split)'), ('[weights]', '->', '(split)'), ('(split)', '->', '<pairs>'), ('<pairs>', '::', '(relax)'), ('[grid]', '->', '(relax)'),
+        ('[weights]', '->', '(relax)'), ('(relax)', '->', '[grid]'), ('(relax)', '->', '[changes]'), ('[changes]', '->', '(count)'), ('(count)', '->', '[total]'), ('[total]', '->', 'env')) v(source, kind, target)""",
     "C4_freed": "SELECT count(*) AS got, 0::BIGINT AS differing, 0::BIGINT AS remaining FROM nation",
     "Q28_range_depends": "SELECT t, (t + 1) * 2 AS item FROM range(0, 1000, 10) r(t)",
     "Q9_tiled": recursive.SQL["Q9_shortest_path"],

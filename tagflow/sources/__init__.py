@@ -204,14 +204,26 @@ class RangeReader(DataSourceReader):
 
 
 def graph_edges(spec: str) -> list[tuple[str, str, str]]:
-    """The edges of a textual graph: <tags> :: (step); [items] -> (step) -> [items]."""
+    """The edges of a textual graph (S16): <tags> :: (step); [items], [others: key] -> (step) -> [items]; env -> <tags>;
+
+    Statements end with a semicolon, may span lines, and list several collections on a side; tag functions behind a colon
+    are left out, and declarations without an arrow have no edges.
+    """
     out = []
-    for line in spec.splitlines():
-        line = line.split("//")[0].strip().rstrip(";")
-        parts = re.split(r"\s*(->|::)\s*", line)
-        out += [(parts[k], parts[k + 1], parts[k + 2]) for k in range(0, len(parts) - 2, 2)]
+    for statement in re.sub(r"//[^\n]*|/\*.*?\*/", " ", spec, flags=re.S).split(";"):
+        sides = re.split(r"(->|::)", statement)
+        named = [[re.sub(r"\s*:.*(?=[>\])]$)|\s+(?=[>\])]$)|(?<=^[<\[(])\s+", "", n) for n in re.findall(r"\benv\b|<[^<>]*>|\[[^\[\]]*\]|\([^()]*\)", side)] for side in sides[::2]]
+        out += [(a, kind, b) for left, kind, right in zip(named, sides[1::2], named[1:], strict=False) for a in left for b in right]
     return out
 
 
+def graph_faults(edges: list[tuple[str, str, str]]) -> list[str]:
+    """What a graph lacks: steps that nothing prescribes, collections that are read but never put."""
+    prescribed = {b for _, kind, b in edges if kind == "::"}
+    put, read = {b for _, kind, b in edges if kind == "->"}, {a for a, _, _ in edges}
+    steps = {x for edge in edges for x in (edge[0], edge[2]) if x.startswith("(")}
+    return sorted([f"nothing prescribes {s}" for s in steps - prescribed] + [f"nothing puts to {c}" for c in read - put if c[0] in "<["])
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return fresh(spark, name)

@@ -10,7 +10,7 @@ QUERIES = plans.queries()
 #: Queries whose steps are Python by nature: numeric kernels, a user's own aggregate, a Python data source.
 PYTHON = {"Q3_mandelbrot", "U2_own_reduce", "U8_data_source", "C25_timer", "K6_stream_actor", "K7_stream_latest"} | {q for q in QUERIES if q.split("_")[0] in ("Q10", "Q11", "Q16") or q == "Q12_matmul_tiles"}
 #: Those that are cross products by definition, of dimension tables or ranges.
-CROSS = {"J1_cross", "J1_duplicates", "J2_chained_cross", "K2_stream_cross", "Q5_divide"}
+CROSS = {"J1_cross", "J1_duplicates", "S16_graph_lists", "J2_chained_cross", "K2_stream_cross", "Q5_divide"}
 
 
 def plan(spark, sf_dir, name):
