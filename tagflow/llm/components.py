@@ -1,4 +1,8 @@
-"""Connected components of a link table by alternating large-star and small-star steps."""
+"""Connected components of a link table by alternating large-star and small-star steps.
+
+Cases: links with a null end and links of a node to itself are ignored, repeated ones and both directions count once, an
+empty table gives an empty result. Only the two named columns are read.
+"""
 
 from __future__ import annotations
 

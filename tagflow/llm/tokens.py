@@ -11,6 +11,9 @@ text because corpora repeat their words. This is exact:
 
 Texts with an added token's string also go to the library. Pieces met for the first time are merged by ``tiktoken``
 over the file's own vocabulary (for the suffix, a newline stands in: words can't hold one).
+
+Cases: a null is an empty text and has no ids; no texts give no ids. Texts of any length are taken as they are; callers
+bound a column's bytes. Repeated texts are encoded as often, their pieces once.
 """
 
 from __future__ import annotations
