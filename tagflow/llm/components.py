@@ -6,7 +6,7 @@ empty table gives an empty result. Only the two named columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tagflow.llm.common import spread_join, written
@@ -23,8 +23,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = written(both)
     state = (edges.count(), None)
     while True:
-        edges = cut(small_star(large_star(edges, state[0]), state[0]), "zstd", edges)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
+        seen = Observation()  # counted while they are written
+        starred = small_star(large_star(edges, state[0]), state[0])
+        edges = cut(starred.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("sum")), "zstd", edges)
+        now = (seen.get["n"], seen.get["sum"])
         if now == state:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         state = now

@@ -173,12 +173,16 @@ def pivot_pairs(shared: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return near.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def bucket_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame, least: float, nearest: int | None) -> DataFrame:
-    """a, b, ra, rb: pairs of nodes of different components (roots) that meet in a bucket and that their sketches leave."""
+def mixed_buckets(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """seg, val, fp (a node) and root: the buckets that hold nodes of different components."""
     named = shared.join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("seg", "val", "id", F.coalesce("root", "id").alias("root"))
     named = written(named)
     mixed = named.groupBy("seg", "val").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("seg", "val")
-    left = written(named.join(mixed.hint("merge"), ["seg", "val"]).withColumnRenamed("id", "fp"))
+    return written(named.join(mixed.hint("merge"), ["seg", "val"]).withColumnRenamed("id", "fp"))
+
+
+def bucket_pairs(left: DataFrame, nodes: DataFrame, least: float, nearest: int | None) -> DataFrame:
+    """a, b, ra, rb: pairs of nodes of different components (roots) that meet in a bucket and that their sketches leave."""
     of = nodes.select(F.col("id").alias("fp"), "size", "sketch").join(left.select("fp", "root").distinct().hint("merge"), "fp")
     dealt = cells(left.drop("root"), left.groupBy("seg", "val").agg(F.count("*").alias("n"))).join(of.hint("merge"), "fp")
 
@@ -225,13 +229,17 @@ def connected(docs: DataFrame, nodes: DataFrame, text: str, words: int, least: f
     pairs = written(pivot_pairs(shared, nodes, least))
     roots = components(verified(docs, nodes, pairs, text, words, least))
     tried = pairs
+    left = None
     for nearest in (NEAREST, None):
-        pairs = written(bucket_pairs(shared, nodes, roots, least, nearest).join(tried.hint("merge"), ["a", "b"], "left_anti"))
+        if left is None:
+            left = mixed_buckets(shared, roots)
+        pairs = written(bucket_pairs(left, nodes, least, nearest).join(tried.hint("merge"), ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            break
+            continue  # all nearest ones have been tried; farther ones may not have been
         tried, found = tried.unionByName(pairs.select("a", "b")), written(verified(docs, nodes, pairs, text, words, least))
         if found.isEmpty():
             continue
+        left = None
         merged = components(found, "ra", "rb").select(F.col("node").alias("old"), F.col("root").alias("new"))
         named = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).unionByName(merged.select(F.col("old").alias("node"), F.col("old").alias("root"))).distinct()
         roots = written(named.join(merged, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).where("node <> root"))
