@@ -23,6 +23,13 @@ def written(df: DataFrame) -> DataFrame:
     return cut(df, compression="zstd")
 
 
+def on_all_cores(df: DataFrame) -> DataFrame:
+    """``df`` dealt out anew if it is read in fewer parts than there are cores, as a small file of one row group is; larger
+    tables stay as they are read, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Tables are broadcast up to this size, which is measured first.
 BROADCAST_BYTES = 8 << 20
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagflow.llm import bpe_chunks, chat, html_text, knn_quality, packing, quality_rules, rabitq, rans, sharding, simhash
-from tagflow.llm.common import written
+from tagflow.llm.common import on_all_cores, written
 from tagflow.llm.tokens import column_bpe
 from tagflow.sources import table
 from tagflow.storage import fresh
@@ -17,20 +17,24 @@ from tagflow.storage import fresh
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return on_all_cores(table(spark, sf_dir, "documents"))
+
+
 def op1_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
 def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(WORD_BPE)
     folder = fresh(spark, "ids")
-    rans.write_ids(table(spark, sf_dir, "documents"), folder, path, end_id=1)
+    rans.write_ids(documents(spark, sf_dir), folder, path, end_id=1)
     stored = rans.read_ids(spark, folder, column_bpe(path).size)
     return stored.select(F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op3_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(on_all_cores(table(spark, sf_dir, "pages")))
 
 
 def op4_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,18 +43,18 @@ def op4_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = knn_quality.train(docs, table(spark, sf_dir, "labels"))
     named = docs.select("doc_id", knn_quality.held_out(F.col("doc_id")).alias("held_out"), "text")
     return knn_quality.classify(named, model).select("doc_id", "held_out", "score", "predicted")
 
 
 def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_chunks.digests(bpe_chunks.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), decode=True))
+    return bpe_chunks.digests(bpe_chunks.encode(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), decode=True))
 
 
 def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    out = simhash.near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
@@ -62,7 +66,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(documents(spark, sf_dir))
 
 
 def op9_rotated_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
