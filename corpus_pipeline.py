@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tagflow.llm import knn_quality, near_texts, quality_rules
-from tagflow.llm.queries import packed
+from tagflow.llm.queries import documents, packed
 from tagflow.sources import table
 from tagflow.storage import fresh, remove
 
@@ -55,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what a stage leaves is removed as soon as the next one's rows are written."""
-    docs, before = table(spark, sf_dir, "documents"), None
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         path = fresh(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
