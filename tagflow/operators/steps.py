@@ -38,9 +38,11 @@ def route(rows: DataFrame, routes: Mapping[str, Column]) -> dict[str, DataFrame]
 
 
 def runs(rows: DataFrame, text: str) -> DataFrame:
-    """Stretches of one character and their places (P5): the text is split into characters once, so the work is linear in its length."""
-    chars, ends = F.col("_chars"), F.coalesce(F.get("_at", F.col("_k") + 1), F.size("_chars"))
+    """Stretches of one character and their places (P5): the text is split into characters once and all its stretches are
+    built before they are exploded, so the work is linear in its length."""
+    chars, at = F.col("_chars"), F.col("_at")
     starts = F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: (i == 0) | (F.get(chars, i) != F.get(chars, i - 1)))
-    split = rows.where(F.length(text) > 0).withColumn("_chars", F.split(text, "")).withColumn("_at", starts)
-    each = split.select("*", F.posexplode("_at").alias("_k", "pos"))
-    return each.select(*rows.columns, "pos", F.repeat(F.get(chars, F.col("pos")), ends - F.col("pos")).alias("span"))
+    span = lambda start, k: F.struct(start.alias("pos"), F.repeat(F.get(chars, start), F.coalesce(F.get(at, k + 1), F.size(chars)) - start).alias("span"))
+    split = rows.where(F.length(text) > 0).withColumn("_chars", F.split(text, "")).withColumn("_at", starts).withColumn("_runs", F.transform(at, span))
+    # Not explode: for it Spark tests the array below the columns that make it, which makes them anew for every character.
+    return split.select(*rows.columns, F.explode_outer("_runs").alias("_run")).select(*rows.columns, "_run.pos", "_run.span")

@@ -14,8 +14,8 @@ WANTED, OFTEN = ("the", "anan", "eau", "sch", "qzx"), 999
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """word and n: words are exploded and combined before they are shuffled (A4). Empty pieces are left out behind the
-    explosion, where the test is compiled."""
-    return docs.select(F.explode(F.split(ascii_lower(F.col(text)), r"\s+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    explosion, where the test is compiled; an outer one, as Spark would split the texts twice to infer that pieces exist."""
+    return docs.select(F.explode_outer(F.split(ascii_lower(F.col(text)), r"\s+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def a4_count_all_words(spark: SparkSession, sf: str) -> DataFrame:
