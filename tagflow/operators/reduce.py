@@ -42,31 +42,74 @@ def reduce_items(
     return out.where(done).select(*key, F.coalesce("value", F.lit(identity)).alias("value"), reduced.alias("n_reduced"))
 
 
-def reduce_with(rows: DataFrame, key: list[str], value: str, op: Callable[[np.ndarray], object], kind: str, salts: int = 32) -> DataFrame:
+def reduce_with(rows: DataFrame, key: list[str], value: str, op: Callable[[np.ndarray], object], kind: str, salts: int = 32, at_once: int = 4 << 20) -> DataFrame:
     """``value`` of each key reduced by a function of the user's own (U2): associative and commutative, an array to a value.
 
-    Arrow batches are reduced where they are, then what tasks made of a key in ``salts`` groups, then those. Nulls don't
-    take part, and a key of nulls alone does not come out.
+    Arrow batches, joined to ``at_once`` bytes, are reduced where they are, then what tasks made of a key in ``salts``
+    groups, then those. These come sorted by key, as many keys to a batch as fit, and of a batch only the last key waits
+    for the next: a group takes no call of Spark's, and a key of any size no memory. ``op`` meets every value, but no
+    result a second time that is alone. Floats are keys as Spark groups them: 0.0 is -0.0.
     """
-    named = rows.where(F.col(value).isNotNull()).select(*key, value)
+    floats = {f.name: f.dataType for f in rows.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+
+    def grouped(k: str) -> Column:
+        if k not in floats:
+            return F.col(k)
+        special = F.when(F.col(k) == 0, F.lit(0.0).cast(floats[k])).when(F.isnan(k), F.lit(float("nan")).cast(floats[k]))
+        return special.otherwise(F.col(k)).alias(k)
+
+    named = rows.where(F.col(value).isNotNull()).select(*(grouped(k) for k in key), value)
     schema = T.StructType([*named.schema.fields[:-1], T.StructField(value, T._parse_datatype_string(kind))])
     made = to_arrow_schema(schema)
 
-    def reduced(t: pa.Table) -> pa.Table:
+    def reduced(t: pa.Table, again: bool = False) -> pa.Table:
         groups = t.group_by(key, use_threads=False).aggregate([(value, "list")])
         lists = groups[f"{value}_list"].combine_chunks()
-        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.asarray(lists.value_lengths()))
-        out = pa.array([op(flat[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)], made.field(value).type)
+        flat, ends = lists.flatten(), np.cumsum(np.asarray(lists.value_lengths())).tolist()
+        nulls, whole = flat.null_count > 0, flat.to_numpy(zero_copy_only=False)  # nulls: op's own
+
+        def one(x: int, y: int) -> object:
+            if again and not nulls and y - x == 1:
+                return whole[x]
+            return op(flat.slice(x, y - x).to_numpy(zero_copy_only=False) if nulls else whole[x:y])
+
+        out = pa.array([one(x, y) for x, y in zip([0, *ends[:-1]], ends, strict=True)], made.field(value).type)
         return pa.table([*(groups[k] for k in key), out], schema=made)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield from reduced(pa.Table.from_batches([b])).to_batches()
+        for t in tables(batches, at_once):
+            yield from reduced(t).to_batches()
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for t in tables(batches, at_once):
+            t = reduced(t.select([*key, value]), again=True)
+            if last is not None:
+                t = pa.concat_tables([reduced(pa.concat_tables([last, t.slice(0, 1)]), again=True), t.slice(1)])
+            last = t.slice(t.num_rows - 1)
+            yield from t.slice(0, t.num_rows - 1).to_batches()
+        if last is not None:
+            yield from last.to_batches()
+
+    def by(t: DataFrame, *dealt: str) -> DataFrame:
+        return t.repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(in_order, schema)
 
     few = named.mapInArrow(partial, schema).withColumn("_salt", F.spark_partition_id() % salts)
-    fewer = few.groupBy(*key, "_salt").applyInArrow(lambda t: reduced(t.select([*key, value])), schema)
-    return fewer.groupBy(*key).applyInArrow(reduced, schema)
+    return by(by(few, *key, "_salt"), *key)
+
+
+def tables(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Batches joined to tables of ``least`` bytes, so that more rows of a key meet."""
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size >= least:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def map_reduce(rows: DataFrame, emit: Callable[[DataFrame], DataFrame], combine: Column | Callable[[np.ndarray], object], kind: str = "long") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -238,6 +239,31 @@ def test_a_users_reduction(spark):
     assert {r["key"]: r["value"] for r in reduce.map_reduce(df, lambda d: d.select(F.col("k").alias("key"), F.col("v").alias("value")), F.sum("value")).collect()}[2] == 9
 
 
+def test_a_users_reduction_takes_many_keys_to_a_batch(spark):
+    """No group is a call of Spark's, keys go on over batches, zeros are one key, and every value meets the function."""
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        data = [(k % 50, -6 * (k + 1)) for k in range(1000)] + [(50, -8)] + [(51, 10 * k) for k in range(1, 500)]
+        df = frame(spark, data, "k long, v long").repartition(5)
+        want = {k: np.gcd.reduce([v for x, v in data if x == k]) for k in range(52)} | {50: 8}
+        for at_once in (1, 4 << 20):
+            out = reduce.reduce_with(df, ["k"], "v", lambda a: abs(int(np.gcd.reduce(a))), "long", at_once=at_once)
+            got = out.collect()
+            assert len(got) == 52 and {r["k"]: r["v"] for r in got} == want
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+        floats = frame(spark, [(z, 1.5 * k) for k in range(1, 40) for z in (0.0, -0.0, 2.0, float("nan"))], "k double, v double").repartition(5)
+        assert sorted(map(str, reduce.reduce_with(floats, ["k"], "v", np.max, "double", at_once=1).collect())) == ["Row(k=0.0, v=58.5)", "Row(k=2.0, v=58.5)", "Row(k=nan, v=58.5)"]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_reduced_batches_are_joined():
+    batches = [pa.record_batch({"k": list(range(n))}) for n in (5, 0, 7, 3, 1)]
+    assert [t.num_rows for t in reduce.tables(iter(batches), 80)] == [12, 4]
+    assert not list(reduce.tables(iter(batches[1:2]), 80))
+
+
 def test_graphs_check_what_they_read_and_give(spark):
     class Doubled(SubGraph):
         inputs, outputs = {"tags": ("tag",)}, ("out",)
