@@ -64,14 +64,21 @@ def heat(grid: DataFrame, x: str, u: str, alpha: float, steps: int) -> DataFrame
 
 
 def neighbours(grid: DataFrame, offsets: Sequence[tuple[int, ...]], keys: Sequence[str], value: str) -> DataFrame:
-    """Each cell with its neighbours' values as n0, n1, ...; null beyond the edge (I2, I3). One shuffle: every cell is
-    sent to the cells that read it, and these gather what arrived."""
-    sent = F.array(*(F.struct(*((F.col(k) - d).alias(k) for k, d in zip(keys, o, strict=True)), F.lit(n).alias("n")) for n, o in enumerate(offsets)),
-                   F.struct(*(F.col(k) for k in keys), F.lit(-1).alias("n")))
-    out = grid.select(F.explode(sent).alias("to"), F.col(value).alias("v"))
-    at = lambda n: F.max(F.when(F.col("to.n") == n, F.col("v")))
-    gathered = out.groupBy(*(F.col(f"to.{k}").alias(k) for k in keys)).agg(at(-1).alias(value), *(at(n).alias(f"n{n}") for n in range(len(offsets))))
-    return gathered.where(F.col(value).isNotNull())
+    """Each cell, one row a key, with its neighbours' values as n0, n1, ...; null beyond the edge.
+
+    One shuffle: every cell is sent to the cells that read it, and these gather what arrived in sorted order, which
+    spills. What a task sends has nothing to combine, so an aggregate's table would hold all of it. As in a get, a null
+    key is nobody's neighbour.
+    """
+    sent = F.array(*(F.struct(*((F.col(k) - d).alias(k) for k, d in zip(keys, o, strict=True)), F.lit(n).alias("_n")) for n, o in enumerate(offsets)),
+                   F.struct(*(F.col(k) for k in keys), F.lit(-1).alias("_n")))
+    out = grid.select(F.explode(sent).alias("to"), F.col(value).alias("_v")).select(*(F.col(f"to.{k}").alias(k) for k in keys), "to._n", "_v")
+    out = out.where((F.col("_n") == -1) | ~F.array_contains(F.array(*(F.isnull(k) for k in keys)), True))
+    cell = Window.partitionBy(*keys).orderBy("_n")
+    all_of_it = cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = lambda n: F.max(F.when(F.col("_n") == n, F.col("_v"))).over(all_of_it)
+    gathered = out.select(*keys, "_n", F.row_number().over(cell).alias("_row"), at(-1).alias(value), *(at(n).alias(f"n{n}") for n in range(len(offsets))))
+    return gathered.where((F.col("_n") == -1) & (F.col("_row") == 1) & F.col(value).isNotNull()).drop("_n", "_row")
 
 
 CROSS = ((-1, 0), (1, 0), (0, -1), (0, 1))

@@ -427,6 +427,15 @@ def test_jacobi_stops_when_nothing_moves(spark):
     assert np.allclose(dense(out, v.shape), want) and out.first()["rounds"] == k
 
 
+def test_neighbours_are_gathered_in_sorted_order(spark):
+    """No table of all cells that a task sends or gets, one shuffle; null keys, null values and gaps."""
+    df = frame(spark, [(1, 1, 10.0), (1, 2, 20.0), (1, 4, 40.0), (2, 1, None), (2, 2, 5.0), (None, 1, 7.0), (None, 2, 8.0), (3, None, 9.0)], "o long, n int, q double").repartition(3)
+    out = grids.neighbours(df, ((0, -1), (0, 1)), ("o", "n"), "q")
+    assert rows(out, "o", "n") == [(None, 1, 7.0, None, None), (None, 2, 8.0, None, None), (1, 1, 10.0, None, 20.0), (1, 2, 20.0, 10.0, None), (1, 4, 40.0, None, None), (2, 2, 5.0, None, None), (3, None, 9.0, None, None)]
+    text = grids.neighbours(spark.range(9).withColumn("v", F.rand(1)), ((-1,), (1,)), ("id",), "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in text and text.count("Exchange") == 1
+
+
 def test_stencil(spark):
     rng, c = np.random.default_rng(3), (-0.5, 0.1)
     u, before = rng.random((4, 4, 4)), rng.random((4, 4, 4))
