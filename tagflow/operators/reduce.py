@@ -76,13 +76,25 @@ def reduce_with(rows: DataFrame, key: list[str], value: str, op: Callable[[np.nd
         out = pa.array([one(x, y) for x, y in zip([0, *ends[:-1]], ends, strict=True)], made.field(value).type)
         return pa.table([*(groups[k] for k in key), out], schema=made)
 
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+            if size >= at_once:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in tables(batches, at_once):
+        for t in tables(batches):
             yield from reduced(t).to_batches()
 
     def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for t in tables(batches, at_once):
+        for t in tables(batches):
             t = reduced(t.select([*key, value]), again=True)
             if last is not None:
                 t = pa.concat_tables([reduced(pa.concat_tables([last, t.slice(0, 1)]), again=True), t.slice(1)])
@@ -98,20 +110,6 @@ def reduce_with(rows: DataFrame, key: list[str], value: str, op: Callable[[np.nd
     return by(by(few, *key, "_salt"), *key)
 
 
-def tables(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
-    """Batches joined to tables of ``least`` bytes, so that more rows of a key meet."""
-    held, size = [], 0
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            size += b.nbytes
-        if size >= least:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def map_reduce(rows: DataFrame, emit: Callable[[DataFrame], DataFrame], combine: Column | Callable[[np.ndarray], object], kind: str = "long") -> DataFrame:
     """key and value (A5): ``emit`` makes rows of key and value, ``combine`` reduces the values of a key - an aggregate of
     Spark's over the column ``value``, or a function for ``reduce_with``, whose results are of ``kind``."""
